@@ -8,11 +8,12 @@ documents are found with whole-array operations.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are held as arrays at once, unless one document is longer.
@@ -35,15 +36,28 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint; Spark removes it when nothing refers to it."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, for rows with texts."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Marked for broadcast if it has at most `limit` rows, else left to a shuffle join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -151,3 +165,47 @@ def sums_by_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the values between successive bounds."""
     total = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=values.dtype if values.dtype.kind == "f" else np.int64)))
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+class Lookup:
+    """An open-addressing table from 64-bit keys (not 0) to their positions, for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = keys.astype(np.int64)
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.probes = 0
+        number, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.at[slot[put]] = keys[put], number[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, number, slot = keys[rest], number[rest], self._next(slot[rest])
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 if it is not there."""
+        keys = np.ascontiguousarray(keys).view(np.int64)
+        slot = self._slot(keys)
+        got = self.keys[slot]
+        found = np.where(got == keys, self.at[slot], -1)
+        open_ = np.flatnonzero((got != keys) & (got != 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            slot[open_] = self._next(slot[open_])
+            got = self.keys[slot[open_]]
+            same = got == keys[open_]
+            found[open_[same]] = self.at[slot[open_[same]]]
+            open_ = open_[~same & (got != 0)]
+        return found

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.llm.common import slices, text_bytes
 
@@ -115,30 +116,38 @@ def infer(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return best
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score and lang_set (the chosen languages, largest first)."""
+def _predict(text: bytes, letter: bool, langs: list[str], table: np.ndarray) -> tuple[str, float, list[str]]:
+    codes = _codes(text) if letter and langs else ()
+    if not len(codes):
+        return UNKNOWN, 0.0, []
+    if len(codes) > 1 << BITS:
+        n = np.bincount(codes, minlength=1 << BITS)
+        each = np.flatnonzero(n)
+        n = n[each]
+    else:
+        each, n = np.unique(codes, return_counts=True)
+    theta = infer(table[each].T, n.astype(np.float64))
+    order = [i for i in np.argsort(-theta, kind="stable") if theta[i] > 0]
+    return langs[order[0]], float(min(1.0, theta[order[0]])), [langs[i] for i in order]
+
+
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and lang_set (the chosen languages, largest first) of every text.
+
+    With carry, all columns of docs but those of these names come along.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((langs, p.T.copy()))
+    names = ["lang_pred", "score", "lang_set"]
+    others = [c for c in docs.columns if c.lower() not in names] if carry else ["doc_id"]
+    letter = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}")
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], text_bytes().alias("text"), letter.alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
-        for rows, texts in slices(batches):
-            pred, score, sets = [], [], []
-            for text, letter in zip(texts, rows.column(2).to_pylist(), strict=True):
-                codes = _codes(text) if letter and langs else ()
-                if not len(codes):
-                    pred.append(UNKNOWN), score.append(0.0), sets.append([])
-                    continue
-                if len(codes) > 1 << BITS:
-                    n = np.bincount(codes, minlength=1 << BITS)
-                    each = np.flatnonzero(n)
-                    n = n[each]
-                else:
-                    each, n = np.unique(codes, return_counts=True)
-                theta = infer(table[each].T, n.astype(np.float64))
-                order = [i for i in np.argsort(-theta, kind="stable") if theta[i] > 0]
-                pred.append(langs[order[0]]), score.append(float(min(1.0, theta[order[0]]))), sets.append([langs[i] for i in order])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "lang_set"])
+        for part, texts in slices(batches):
+            found = [_predict(t, x, langs, table) for t, x in zip(texts, part.column(part.num_columns - 1).to_pylist(), strict=True)]
+            pred, score, sets = map(list, zip(*found, strict=True)) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], [*part.schema.names[:-2], *names])
 
-    letter = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}")
-    rows = docs.select("doc_id", text_bytes().alias("text"), letter.alias("letter"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, lang_set array<string>")
+    kinds = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(run, kinds).toDF(*others, *names)

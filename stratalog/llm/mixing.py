@@ -80,7 +80,7 @@ def _taken(block: int, epochs: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every document, and the columns to carry.
+    """doc_id, size, source_size, target, taken and source for every document, and the columns to carry.
 
     `taken` counts words, repeats included, and never exceeds `epochs` times the size.
     """
@@ -106,4 +106,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     joined = dealt.withColumn("_cell", cell).join(parts.withColumnRenamed("_cell", "_c"), (F.col("_cell") == F.col("_c")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_n")), "left")
     stream = W.partitionBy("_cell", *keys).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = joined.withColumn("_end", F.sum("size").over(stream)).withColumn("_start", F.col("_end") - F.col("size")).withColumn("_seed", F.lit(seed))
-    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), _taken(block, epochs).alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), _taken(block, epochs).alias("taken"), "source", *[F.col(f"_carry_{c}").alias(c) for c in carry])

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import Lookup
+
 BLANK = "▁"
 #: Pre-tokens of up to so many characters are remembered, up to so many of them.
 CACHED_CHARS, CACHED = 48, 1_000_000
@@ -65,48 +67,17 @@ class Merger:
                     keys.append(a * self.width + b)
                     out.append(i)
                     risky.update(x for x in (a, b) if rank[i] <= rank[x])
-        self._index(np.array(keys, np.int64), np.array(out, np.int32))
+        self.pairs, self.out = Lookup(np.array(keys, np.int64) + 1), np.array(out, np.int32)
         self.rank = rank
         self.risky = np.zeros(self.width, bool)
         self.risky[list(risky)] = True
         self.known: dict[str, int] = {}
         self.alone: set[str] = set()
 
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(44)) & np.int64(len(self.keys) - 1)
-
-    def _index(self, keys: np.ndarray, out: np.ndarray) -> None:
-        """An open-addressing table of the pairs; every key is within `probes` slots of its own."""
-        self.keys, self.out, self.probes = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int32), 0
-        with np.errstate(over="ignore"):
-            at = self._slot(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[at] < 0)
-            _, one = np.unique(at[free], return_index=True)
-            put = free[one]
-            self.keys[at[put]], self.out[at[put]] = keys[put], out[put]
-            rest = np.ones(len(keys), bool)
-            rest[put] = False
-            keys, out, at = keys[rest], out[rest], (at[rest] + 1) & (len(self.keys) - 1)
-            self.probes += 1
-
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, 0 if none."""
-        key = a.astype(np.int64) * self.width + b
-        with np.errstate(over="ignore"):
-            at = self._slot(key)
-        got = self.keys[at]
-        found = np.where(got == key, self.out[at], 0)
-        open_ = np.flatnonzero((got != key) & (got >= 0))
-        for _ in range(self.probes - 1):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
-            got = self.keys[at[open_]]
-            same = got == key[open_]
-            found[open_[same]] = self.out[at[open_[same]]]
-            open_ = open_[~same & (got >= 0)]
-        return found
+        at = self.pairs.find(a.astype(np.int64) * self.width + b + 1)
+        return np.where(at >= 0, self.out[at], 0)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each pre-token, and whether its first symbol stays a single blank."""
@@ -203,7 +174,7 @@ class Merger:
             runs[w] = (len(w) - len(body), BLANK + body)
             new.add(BLANK + body)
         new.discard("\n")
-        long = self.learn(new - self.known.keys())
+        long = self.learn({w for w in new if w not in self.known})
         value = {"\n": 1} | long
         for w, (blanks, body) in runs.items():
             n = long.get(body)
