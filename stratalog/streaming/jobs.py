@@ -17,11 +17,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stratalog.functions.vocabulary import STATEMENT
 from stratalog.sources.oplog import operations
 
+KEYS = ["branch_id", "commit_seq", *STATEMENT]
+
 
 def read_events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The events table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parque[t]")  # a pattern stands for a file as well as for a folder
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def read_log(spark: SparkSession, path: str, ddl: str, files: int = 100) -> DataFrame:
@@ -61,15 +67,14 @@ def net_walks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     for d in rows["delta"]:
         at = max(-1, min(1, at + int(d)))
     state.update((at,))
-    yield pd.DataFrame([(*key, at, int(rows["seq"].max()))])
+    yield pd.DataFrame([(*key, at, int(rows["seq"].max()))], columns=[*KEYS, "net", "upto"])
 
 
 def net_stream(ops: DataFrame) -> DataFrame:
     """Updates of each statement's net change: the last one by `upto` holds."""
-    keys = ["branch_id", "commit_seq", *STATEMENT]
     kinds = {f.name: f.dataType.simpleString() for f in ops.schema.fields}
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", net int, upto long"
-    return ops.groupBy(*keys).applyInPandasWithState(net_walks, out, "at int", "update", GroupStateTimeout.NoTimeout)
+    out = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", net int, upto long"
+    return ops.groupBy(*KEYS).applyInPandasWithState(net_walks, out, "at int", "update", GroupStateTimeout.NoTimeout)
 
 
 def net_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
