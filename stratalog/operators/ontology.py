@@ -31,18 +31,25 @@ def define(df: DataFrame) -> DataFrame:
     typed = F.when(lit, V.DATA_PROPERTY).otherwise(V.OBJECT_PROPERTY)
     plain = [(p, V.TYPE, typed, None), (p, V.DOMAIN, dom, None), (p, V.RANGE, ran, None)]
     one = F.concat(F.lit("anon::"), p, F.lit("::maxOneCardinality"))
-    bound = F.when(ran.isin(V.OWL + "Thing", V.RDFS + "Literal"), V.OWL + "maxCardinality").otherwise(V.OWL + "maxQualifiedCardinality")
-    at_most_one = lambda holder: [(one, V.TYPE, V.OWL + "Restriction", None), (one, V.OWL + "onProperty", p, None), (one, bound, "1", V.XSD + "nonNegativeInteger"), (holder, V.SUB_CLASS, one, None)]
-    single = [*plain, *at_most_one(dom), (p, V.SUB_PROPERTY, F.when(lit, V.SINGLE_LITERAL).otherwise(V.SINGLE_OBJECT), None)]
-    listed, member = F.concat(p, F.lit("_list")), F.concat(p, F.lit("_li"))
-    only = F.concat(F.lit("anon::"), listed, F.lit("::allValuesFrom"))
-    as_list = [(listed, V.TYPE, V.CLASS, None), (listed, V.SUB_CLASS, V.LIST_CLASS, None), (p, V.TYPE, V.OBJECT_PROPERTY, None), (p, V.DOMAIN, dom, None), (p, V.RANGE, listed, None), *at_most_one(dom), (p, V.SUB_PROPERTY, V.LIST_REF, None), (member, V.TYPE, typed, None), (member, V.SUB_PROPERTY, V.MEMBER, None), (member, V.DOMAIN, listed, None), (member, V.RANGE, ran, None), (only, V.TYPE, V.OWL + "Restriction", None), (only, V.OWL + "onProperty", member, None), (only, V.OWL + "allValuesFrom", ran, None), (listed, V.SUB_CLASS, only, None)]
+    none = F.lit(None).cast("string")
+
+    def at_most_one(holder: Column, target: Column, data: Column) -> list[tuple]:
+        """A restriction to one value, qualified by what it points to unless that is anything."""
+        anything = target.isin(V.OWL + "Thing", V.RDFS + "Literal")
+        bound = F.when(anything, V.OWL + "maxCardinality").otherwise(V.OWL + "maxQualifiedCardinality")
+        qualifier = F.when(~anything, F.when(data, V.OWL + "onDataRange").otherwise(V.OWL + "onClass")).otherwise(none)
+        return [(one, V.TYPE, V.OWL + "Restriction", None), (one, V.OWL + "onProperty", p, None), (one, bound, "1", V.XSD + "nonNegativeInteger"), (one, qualifier, target, None), (holder, V.SUB_CLASS, one, None)]
+
+    single = [*plain, *at_most_one(dom, ran, lit), (p, V.SUB_PROPERTY, F.when(lit, V.SINGLE_LITERAL).otherwise(V.SINGLE_OBJECT), None)]
+    listed, member = F.concat(p, F.lit("_list")), F.concat(p, F.when(lit, "_liLiteral").otherwise("_liObject"))
+    only = F.concat(F.lit("anon::"), member, F.lit("::valueRestriction"))
+    as_list = [(listed, V.TYPE, V.CLASS, None), (listed, V.SUB_CLASS, V.LIST_CLASS, None), (p, V.TYPE, V.OBJECT_PROPERTY, None), (p, V.DOMAIN, dom, None), (p, V.RANGE, listed, None), *at_most_one(dom, listed, F.lit(False)), (p, V.SUB_PROPERTY, V.LIST_REF, None), (member, V.TYPE, typed, None), (member, V.SUB_PROPERTY, V.MEMBER, None), (member, V.DOMAIN, listed, None), (member, V.RANGE, ran, None), (only, V.TYPE, V.OWL + "Restriction", None), (only, V.OWL + "onProperty", member, None), (only, V.OWL + "allValuesFrom", ran, None), (listed, V.SUB_CLASS, only, None)]
     entry, value = F.concat(p, F.lit("EntryType")), F.concat(p, F.when(lit, "/literalValue").otherwise("/objectValue"))
     as_map = [(entry, V.TYPE, V.CLASS, None), (entry, V.SUB_CLASS, V.MAP_ENTRY, None), (p, V.TYPE, V.OBJECT_PROPERTY, None), (p, V.DOMAIN, dom, None), (p, V.RANGE, entry, None), (p, V.SUB_PROPERTY, V.MAP_REF, None), (value, V.TYPE, typed, None), (value, V.DOMAIN, entry, None), (value, V.RANGE, ran, None), (value, V.SUB_PROPERTY, F.when(lit, V.MAP_LITERAL).otherwise(V.MAP_OBJECT), None)]
     out = _statements(kind("SET"), plain)
     for k, rows in (("SINGLE", single), ("LIST", as_list), ("MAP", as_map)):
         out = out.union(_statements(kind(k), rows))
-    return out.distinct()
+    return out.where("predicate is not null").distinct()
 
 
 def define_new(df: DataFrame, state: DataFrame) -> DataFrame:
@@ -125,7 +132,7 @@ def instances(state: DataFrame, base: str) -> DataFrame:
 def drop_properties(state: DataFrame, properties: DataFrame) -> DataFrame:
     """The graph without these properties (property) and what was made for them: list classes, entries, restrictions."""
     p = F.col("property")
-    made = F.array(p, F.concat(p, F.lit("_list")), F.concat(p, F.lit("_li")), F.concat(p, F.lit("EntryType")), F.concat(p, F.lit("/literalValue")), F.concat(p, F.lit("/objectValue")), F.concat(F.lit("anon::"), p, F.lit("::maxOneCardinality")), F.concat(F.lit("anon::"), p, F.lit("_list::allValuesFrom")))
+    made = F.array(p, F.concat(p, F.lit("_list")), F.concat(p, F.lit("_liLiteral")), F.concat(p, F.lit("_liObject")), F.concat(p, F.lit("EntryType")), F.concat(p, F.lit("/literalValue")), F.concat(p, F.lit("/objectValue")), F.concat(F.lit("anon::"), p, F.lit("::maxOneCardinality")), F.concat(F.lit("anon::"), p, F.lit("_liLiteral::valueRestriction")), F.concat(F.lit("anon::"), p, F.lit("_liObject::valueRestriction")))
     gone = properties.select(F.explode(made).alias("_gone")).distinct()
     left = state.join(gone, state.subject == gone._gone, "left_anti")
     return left.join(gone, left.object == gone._gone, "left_anti")
