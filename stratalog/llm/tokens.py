@@ -43,8 +43,11 @@ class Merger:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         score = {model.id_to_piece(i): model.get_score(i) for i in normal}
-        runs = {len(p) for p in score if set(p) == {BLANK}}
-        self.run = next(n for n in range(1, len(runs) + 2) if n + 1 not in runs)
+        # Runs of blanks, which merge by place among equal scores: tokens of short ones, and the length that longer ones repeat by.
+        self.run = max(len(p) for p in score if set(p) == {BLANK})
+        self.blanks = [0, 1, *(len(model.encode(" " * n)) for n in range(1, 6 * self.run))]
+        if any(self.blanks[n + self.run] != self.blanks[n] + 1 for n in range(1, 5 * self.run)):
+            raise ValueError("long runs of blanks do not repeat")
         if any(len(p) > 1 and set(p) == {BLANK} and s > min(score.values()) for p, s in score.items()):
             raise ValueError("runs of blanks must merge last")
         pieces = {p: s for p, s in score.items() if len(p) == 1 or set(p) != {BLANK}}
@@ -79,6 +82,10 @@ class Merger:
         at = self.pairs.find(a.astype(np.int64) * self.width + b + 1)
         return np.where(at >= 0, self.out[at], 0)
 
+    def _blank_tokens(self, n: int) -> int:
+        over = max(0, n - len(self.blanks) + self.run) // self.run
+        return self.blanks[n - over * self.run] + over
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each pre-token, and whether its first symbol stays a single blank."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -180,7 +187,7 @@ class Merger:
             n = long.get(body)
             n = self.known[body] if n is None else n
             loose = body in self.alone
-            value[w] = n - loose + -(-(blanks - 1 + loose) // self.run)
+            value[w] = n - loose + self._blank_tokens(blanks - 1 + loose)
         if value.keys() & self.known.keys():
             value = {k: v for k, v in value.items() if k not in self.known}
         known = self.known
