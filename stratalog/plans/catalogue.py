@@ -631,3 +631,8 @@ def stream_snapshot_latest(spark, sf_dir):
 def stream_merge_dedup(spark, sf_dir):
     log, sent = _arrivals(spark, sf_dir)
     return jobs.merge_dedup(sent.where("origin <> dst")).select("commit_id", "origin", "dst")
+
+
+@query(ORACLES["history_by_resource"].replace("WHERE branch_id=0 AND", "WHERE"))
+def stream_history_index(spark, sf_dir):
+    return jobs.of_container(jobs.index_history(_net(spark, sf_dir)), "http://ex/artifact/3").select(*_HROWS)

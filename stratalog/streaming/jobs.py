@@ -113,3 +113,25 @@ def snapshot(changes: DataFrame) -> DataFrame:
     stream = spark.readStream.schema(changes.schema).parquet(f"{folder}/in")
     whole = run_once(snapshot_stream(stream), write=lambda b, n, p: b.write.mode("overwrite").parquet(f"{p}/batch=0"), mode="complete", folder=folder)
     return whole.where("net = 1").drop("net", "batch")
+
+
+def index_history(changes: DataFrame, buckets: int = 64) -> DataFrame:
+    """The history of a batch table of net changes, indexed by a stream: clustered by a bucket of the container."""
+    from stratalog.operators import history
+
+    spark = changes.sparkSession
+    folder = _folder(spark)
+    changes.write.parquet(f"{folder}/in")
+    stream = history.history(spark.readStream.schema(changes.schema).parquet(f"{folder}/in"))
+
+    def put(batch: DataFrame, number: int, path: str) -> None:
+        bucket = F.pmod(F.xxhash64("container"), F.lit(buckets))
+        batch.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+
+    return run_once(stream, write=put, folder=folder).drop("batch")
+
+
+def of_container(index: DataFrame, container: str, buckets: int = 64) -> DataFrame:
+    """A container's history; the bucket prunes the files to read."""
+    bucket = index.sparkSession.range(1).select(F.pmod(F.xxhash64(F.lit(container)), F.lit(buckets)).alias("b")).first().b
+    return index.where((F.col("bucket") == bucket) & (F.col("container") == container))
