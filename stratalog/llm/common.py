@@ -7,6 +7,7 @@ documents are found with whole-array operations.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,9 +47,16 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark removes it when nothing refers to it."""
+    """Cut the lineage with a reliable checkpoint; Spark removes it when nothing refers to it.
+
+    Shuffle files of what is now cut off stay until the driver's garbage is collected, which a
+    loop of small steps may not cause for long, so it is asked for here.
+    """
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    cut = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return cut
 
 
 def stored(df: DataFrame) -> DataFrame:

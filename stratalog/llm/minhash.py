@@ -122,8 +122,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def confirm(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets have 100 * intersection >= percent * union."""
+def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The edges (a, b) whose sets have 100 * intersection >= percent * union.  texts: doc_id, text (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
@@ -148,7 +148,6 @@ def confirm(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 at = end
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    texts = docs.select("doc_id", text_bytes().alias("text"))
     one = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = edges.schema["a"].dataType.simpleString()
@@ -172,7 +171,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: in
         return near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
     tested = settle(plausible(shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()))
-    links = settle(confirm(tested, docs, size, percent))
+    # The texts that any star can need, once: without exact copies and documents that share no bucket.
+    wanted = shared.select("rep").distinct()
+    texts = stored(docs.select("doc_id", text_bytes().alias("text")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
+    links = settle(confirm(tested, texts, size, percent))
     for star in range(1, stars + 1):
         labels = settle(components(links))
         if star == stars:
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: in
         fresh = settle(plausible(fresh.join(tested, ["a", "b"], "left_anti")))
         if fresh.isEmpty():
             break
-        links, tested = settle(links.union(confirm(fresh, docs, size, percent))), tested.union(fresh)
+        links, tested = settle(links.union(confirm(fresh, texts, size, percent))), tested.union(fresh)
     labelled = member.join(labels, member.rep == labels.node, "left")
     component = F.coalesce("component", "rep", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
