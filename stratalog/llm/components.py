@@ -37,3 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         known = settle(_small(_large(known)))
     return known.select(F.col("a").alias("node"), F.col("b").alias("component")).union(known.select(F.col("b"), F.col("b")).distinct())
+
+
+def extend(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (node, component) after more edges (a, b).  Only components that the edges join are worked on."""
+    joined = edges.join(labels.alias("x"), F.col("a") == F.col("x.node"), "left").join(labels.alias("y"), F.col("b") == F.col("y.node"), "left")
+    between = joined.select(F.coalesce("x.component", "a").alias("a"), F.coalesce("y.component", "b").alias("b"))
+    moved = settle(components(between)).toDF("_from", "_to")
+    old = labels.join(moved, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    new = moved.join(labels, F.col("_from") == F.col("node"), "left_anti").toDF("node", "component")
+    return settle(old.union(new))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import Words, lower_table, mix64, settle, slices, stored, text_bytes
-from stratalog.llm.components import components
+from stratalog.llm.components import components, extend
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -175,10 +175,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: in
     wanted = shared.select("rep").distinct()
     texts = stored(docs.select("doc_id", text_bytes().alias("text")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
     links = settle(confirm(tested, texts, size, percent))
-    for star in range(1, stars + 1):
-        labels = settle(components(links))
-        if star == stars:
-            break
+    labels = settle(components(links))
+    for star in range(1, stars):
         now = shared.join(labels, shared.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
         now = settle(now.join(mixed, "key"))
@@ -187,7 +185,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: in
         fresh = settle(plausible(fresh.join(tested, ["a", "b"], "left_anti")))
         if fresh.isEmpty():
             break
-        links, tested = settle(links.union(confirm(fresh, texts, size, percent))), tested.union(fresh)
+        found, tested = settle(confirm(fresh, texts, size, percent)), tested.union(fresh)
+        if not found.isEmpty():
+            labels = extend(labels, found)
     labelled = member.join(labels, member.rep == labels.node, "left")
     component = F.coalesce("component", "rep", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import common, decontaminate, language, licenses, minhash, mixing, pii, quality, suffixtree, tokens, toxicity
-from stratalog.llm.components import components
+from stratalog.llm.components import components, extend
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, Score string"
 SYLLABLES = {"en": "the and of ing ed th on er st re".split(), "fr": "eau eux ou ment tre qu on la des é".split(), "de": "ung sch keit der ein ge zu ß ü en".split()}
@@ -90,6 +90,9 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    first, rest = edges[:30], [e for e in edges[30:] if e[0] is not None]
+    grown = extend(components(spark.createDataFrame(first, "a long, b long")), spark.createDataFrame(rest, "a long, b long"))
+    assert {x.node: x.component for x in grown.collect()} == got
 
 
 def test_near_duplicates_are_those_of_all_pairs(spark, docs, empty):
