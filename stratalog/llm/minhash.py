@@ -6,11 +6,11 @@ its own sequence of random probes.  Bands of bins are bucket keys.  Equal sets a
 before anything else; in each bucket only edges to one centre are candidates, so pairs grow
 with the rows, not with their square.  Candidates are confirmed on the full sets, and links
 become components.  Buckets that still hold several components get further stars around
-other centres, with pairs tested before left out.
+the rows that meet most rows of other components, with pairs tested before left out.  What
+stars leave mixed is settled by an exact prefix-filter join of the shingles of its rows.
 
 At 32 bands of 4 bins a pair at the threshold of 0.85 misses all buckets with probability
-below 1e-9; what stars can miss is a link between two members that no centre links, in all
-of `STARS` rounds and in every common bucket.
+below 1e-9; all pairs that share a bucket are tested or ruled out, unless links connect them.
 
 Defined results: documents without words or text have n_shingles 0 and are a component of
 their own; with fewer words than a shingle the whole sequence is the one shingle; rows of one
@@ -32,8 +32,10 @@ from stratalog.llm.components import components, extend
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Rounds of stars in buckets that hold several components.
+#: Rounds of stars at most, before the pairs that stars leave untested are found by a join.
 STARS = 4
+#: Slots of the sketch of shingle counts that orders prefixes.
+SKETCH = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -154,6 +156,69 @@ def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return two.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, rep, comp and weight of the rows of buckets with several components; weight: rows of others that rep meets in its buckets."""
+    now = shared.join(labels, shared.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    own = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_own"))
+    every = own.groupBy("key").agg(F.sum("_own").alias("_all"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1").drop("_comps")
+    now = settle(now.join(own.join(every, "key"), ["key", "comp"]))
+    weights = now.groupBy("rep").agg(F.sum(F.col("_all") - F.col("_own")).alias("weight"))
+    return now.select("key", "rep", "comp").join(weights, "rep")
+
+
+def _stars(mixed: DataFrame) -> DataFrame:
+    """Edges (a, b) of each bucket's rows to its heaviest row, across components."""
+    centre = mixed.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("rep").alias("h"), "rep", "comp")).alias("c"))
+    return mixed.join(centre, "key").where("comp <> c.comp").select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) across the components of rest (rep, comp) that contain all links, by a prefix-filter join.
+
+    Two sets that are linked share one of the first n - ceil(percent n / 100) + 1 shingles of
+    each in any one order.  The order is by a sketch of the shingles' counts, rare ones first,
+    then by hash; where both sets are at the shared shingle bounds what they can have in common.
+    """
+    rows = stored(texts.join(rest, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for _, part in slices(batches):
+            for x in shingle_sets(part, size):
+                np.add.at(total, (x % np.uint64(SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    sums = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, np.int64)
+    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    shared = rest.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in slices(batches):
+            at, token, place, n = [], [], [], []
+            for i, x in enumerate(shingle_sets(found, size)):
+                k = len(x) - -(-percent * len(x) // 100) + 1
+                first = x[np.lexsort((x, shared.value[(x % np.uint64(SKETCH)).astype(np.int64)]))[:k]]
+                at.append(np.full(len(first), i))
+                token.append(first)
+                place.append(np.arange(len(first)))
+                n.append(np.full(len(first), len(x)))
+            take = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n))], ["rep", "comp", "token", "at", "n"])
+
+    kind = rest.schema["rep"].dataType.simpleString()
+    dealt = settle(rows.mapInArrow(prefixes, f"rep {kind}, comp {kind}, token long, at long, n long"))
+    several = dealt.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("token")
+    dealt = dealt.join(several, "token", "left_semi")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    across = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
+    return x.join(y, across & near & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept of every row."""
     signed = settle(signatures(docs, size))
@@ -176,18 +241,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: in
     texts = stored(docs.select("doc_id", text_bytes().alias("text")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
     links = settle(confirm(tested, texts, size, percent))
     labels = settle(components(links))
-    for star in range(1, stars):
-        now = shared.join(labels, shared.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("key")
-        now = settle(now.join(mixed, "key"))
-        centre = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(star)).alias("h"), F.col("rep"), F.col("comp"))).alias("c"))
-        fresh = now.join(centre, "key").where("comp <> c.comp").select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
-        fresh = settle(plausible(fresh.join(tested, ["a", "b"], "left_anti")))
+    for _ in range(1, stars):
+        fresh = plausible(_stars(_mixed(shared, labels)))
+        fresh = settle(fresh.join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         found, tested = settle(confirm(fresh, texts, size, percent)), tested.union(fresh)
         if not found.isEmpty():
             labels = extend(labels, found)
+    rest = settle(_mixed(shared, labels).select("rep", "comp").distinct())
+    if not rest.isEmpty():
+        fresh = settle(prefix_pairs(rest, texts, size, percent).join(tested, ["a", "b"], "left_anti"))
+        found = settle(confirm(fresh, texts, size, percent))
+        if not found.isEmpty():
+            labels = extend(labels, found)
     labelled = member.join(labels, member.rep == labels.node, "left")
     component = F.coalesce("component", "rep", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

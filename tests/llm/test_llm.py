@@ -116,6 +116,33 @@ def test_near_duplicates_are_those_of_all_pairs(spark, docs, empty):
     assert sorted(i for i in kept if i is not None) == sorted({v for v in root.values()}) and kept.count(None) == 1
 
 
+def test_copies_of_an_original_with_a_large_id_are_one_component(spark):
+    r = random.Random(4)
+    words, rows = [f"w{r.randint(0, 10**6)}" for _ in range(300)], []
+    for k in range(1000):
+        w = list(words)
+        for i in r.sample(range(300), r.randint(5, 7)):
+            w[i] = f"x{r.randint(0, 10**9)}"
+        rows.append((k, " ".join(w), "en", "a"))
+    rows.append((10**6, " ".join(words), "en", "a"))
+    got = minhash.near_duplicates(spark.createDataFrame(make(rows), DOCS), 3, 85)
+    assert got.count() == 1001 and got.select("component_id").distinct().count() == 1
+
+
+def test_prefix_pairs_contain_all_links(spark):
+    r, rows = random.Random(6), []
+    for k in range(60):
+        w = [f"w{(k % 6) * 1000 + i}" for i in range(100)]
+        for i in r.sample(range(100), r.randint(0, 4)):
+            w[i] = f"x{r.randint(0, 10**9)}"
+        rows.append((k, " ".join(w).encode()))
+    texts_ = spark.createDataFrame(rows, "doc_id long, text binary")
+    got = {(x.a, x.b) for x in minhash.prefix_pairs(texts_.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp")), texts_, 3, 85).collect()}
+    sets = {i: set(x.tolist()) for i, x in enumerate(minhash.shingle_sets([t for _, t in rows], 3))}
+    linked = {(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked and linked <= got and len(got) < 60 * 59 / 2
+
+
 def test_densified_signatures_keep_the_collision_rate():
     r = np.random.default_rng(2)
     rates = []
