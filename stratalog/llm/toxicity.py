@@ -3,7 +3,9 @@
 Words may be disguised: digits and signs for letters, letters repeated, signs or blanks put
 between them.  A disguised word is a lattice of the letters that each sign may stand for, of
 repeats and of signs that may be left out; Viterbi decoding under a character trigram model
-finds the likeliest spelling.  A plain word is a lattice with one path.  The restored words
+finds the likeliest spelling.  A plain word is a lattice with one path; if it weighs nothing
+and has a doubled letter, its spelling with repeats left out counts.  A run of spaced letters
+is cut into its likeliest words under that model and the lexicon.  The restored words
 are scored: a lexicon of word beginnings and whole words, weighted by the lower bound of
 their log odds in toxic documents, and a logistic regression over what a document's words
 weigh.
@@ -42,8 +44,11 @@ READ, SKIP, REPEAT = 0.5, 2.0, 0.7
 #: Words remembered by a worker.
 CACHED = 500_000
 _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$€£]+$|_+$|^_+")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){3,}\S(?!\S)")
-_TRIPLE = re.compile(r"(.)\1\1")
+_SPACED = re.compile(r"(?<!\S)(?:\S(?:\s+|[._*-])){3,}\S(?!\S)")
+_GAPS = re.compile(r"[\s._*-]")
+_TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
+#: Longest word that a run of spaced letters is cut into, and cost of a cut in nats.
+LONGEST, CUT = 24, 1.0
 _LETTERS = 28
 
 
@@ -119,6 +124,10 @@ class Model:
             paths, before = new, c
         return min((so_far + self.cost[a, b, 0], word) for (a, b), (so_far, word) in paths.items())[1]
 
+    def weight(self, core: str) -> float:
+        """The weight of a plain word, at least 0."""
+        return max([self.weights.get(core + "$", 0.0), *(self.weights.get(core[:k], 0.0) for k in BEGINNINGS if k <= len(core))])
+
     def word(self, raw: str) -> tuple[str, float]:
         """The restored word and its weight, at least 0."""
         core = _EDGE.sub("", raw.lower())
@@ -126,15 +135,47 @@ class Model:
             if not any(c.isalpha() for c in core):
                 return "", 0.0
             core = self.restore(core)
-        best = max([self.weights.get(core + "$", 0.0), *(self.weights.get(core[:k], 0.0) for k in BEGINNINGS if k <= len(core))])
+        best = self.weight(core)
+        if not best and _DOUBLE.search(core):
+            other = self.restore(core)
+            if weight := self.weight(other):
+                return other, weight
         return core, best
 
+    def cut(self, run: str) -> list[str]:
+        """The likeliest words of a run of letters without blanks; words of the lexicon are likelier by their weight."""
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        ways: list[list[float]] = []
+        for i in range(len(run)):
+            a, b, so_far, costs = 0, 0, CUT * (i > 0), []
+            for c in run[i : i + LONGEST]:
+                x = _letter(c)
+                so_far, a, b = so_far + self.cost[a, b, x], b, x
+                costs.append(so_far + self.cost[a, b, 0])
+            ways.append(costs)
+        for j in range(1, len(run) + 1):
+            best.append(min((best[i][0] + ways[i][j - i - 1] - self.weights.get(run[i:j] + "$", 0.0), i) for i in range(max(0, j - LONGEST), j)))
+        words, j = [], len(run)
+        while j:
+            words.append(run[best[j][1] : j])
+            j = best[j][1]
+        return words[::-1]
+
+    def hits(self, raw: str) -> list[tuple[str, float]]:
+        """The words of positive weight behind a raw word or, after a blank, a run of spaced letters."""
+        found = [self.word(raw.strip())]
+        if raw[0] == " ":
+            run = _EDGE.sub("", raw.strip().lower())
+            for core in {run, self.restore(run)} if any(c.isalpha() for c in run) else ():
+                found += [self.word(w) for w in (self.cut(core) if core.isalpha() else ())]
+        return [x for x in dict.fromkeys(found) if x[1] > 0]
+
 
 def words_of(text: str) -> set[str]:
-    """Distinct raw words, letters with blanks between them joined."""
+    """Distinct raw words, and runs of letters with blanks or signs between them, joined after a blank."""
     words = set(text.split())
     for m in _SPACED.finditer(text):
-        words.add(re.sub(r"[ ._*-]", "", m.group()))
+        words.add(" " + _GAPS.sub("", m.group()))
     return words
 
 
@@ -158,11 +199,10 @@ class Scorer:
             known.clear()
         found: dict[str, float] = {}
         for w in [w for w in words if w not in known]:
-            core, weight = self.model.word(w)
-            known[w] = (core, weight) if weight > 0 else None
-        for hit in map(known.__getitem__, words):
-            if hit:
-                found[hit[0]] = hit[1]
+            known[w] = self.model.hits(w) or None
+        for hits in map(known.__getitem__, words):
+            if hits:
+                found.update(hits)
         return _features(list(found.values()), len(words))
 
 

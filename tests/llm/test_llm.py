@@ -399,3 +399,20 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
     flat = toxicity.fit(frame, marks.where("toxic = 0"))
     assert len({round(x.score, 9) for x in toxicity.score(docs, flat).collect()}) == 1
+
+
+def test_spaced_and_doubled_letters_are_restored(spark):
+    r = random.Random(11)
+    bad, rows, labels = ["idiot", "moron", "loser"], [], []
+    for i in range(400):
+        t, toxic = prose(r, n=40).split(), i % 4 == 0
+        for _ in range(3 if toxic else 0):
+            t.insert(r.randint(0, len(t)), r.choice(bad))
+        rows.append((i, " ".join(t), "en", "a"))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(make(rows), DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    disguised = ["a l o s e r", "y o u i d i o t", "i  d\ti\no  t", "looser", "iidiot", "mmoron", "y o u a r e a m 0 r o n"]
+    found = [{core for w in toxicity.words_of("prose " + t + " prose") for core, _ in model.hits(w)} for t in disguised]
+    assert found == [{"loser"}, {"idiot"}, {"idiot"}, {"loser"}, {"idiot"}, {"moron"}, {"moron"}]
+    hidden = spark.createDataFrame(make([(k, t + " " + prose(r, n=20), "en", "a") for k, t in enumerate(disguised)]), DOCS)
+    assert all(x.score > 0.5 for x in toxicity.score(hidden, model).collect())
