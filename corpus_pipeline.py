@@ -7,6 +7,7 @@ the columns of documents; the last adds what the mix takes of each document.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalog.llm import decontaminate, language, minhash, mixing, pii
 from stratalog.llm.common import stored
@@ -35,9 +36,13 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, and how many."""
+    """What the mix draws of each document, repeats included, as its text, and how many words."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    return mixing.mix(docs, carry=others).where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs, carry=others).where("taken > 0")
+    mixed = mixed.withColumn("text", mixing.drawn_text(F.col("text"), F.col("passes"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [

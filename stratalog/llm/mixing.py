@@ -63,8 +63,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFr
     return filled.withColumn("target", F.least(F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("weight"), F.col("_cap"))).drop("_cap", "_level")
 
 
-def _taken(block: int, epochs: int) -> Column:
-    """Words of the document at [_start, _end) of its shard's stream that the quota takes."""
+def _draws(block: int, epochs: int) -> tuple[Column, Column]:
+    """Whole passes over the document at [_start, _end) of its shard's stream, and the spans (at, n) of its words in the blocks drawn besides."""
     size, words, quota = F.col("_words"), F.col("_end") - F.col("_start"), F.coalesce(F.col("quota"), F.lit(0)) * block
     passes = F.least(F.floor(quota / size), F.lit(epochs)).cast("long")
     blocks = F.greatest(F.floor(size / block), F.lit(1)).cast("long")
@@ -72,17 +72,28 @@ def _taken(block: int, epochs: int) -> Column:
     seeded = F.xxhash64(F.lit("blocks"), "source", "_shard", F.col("_seed"))
     prime = F.element_at(F.array(*map(F.lit, _PRIMES)), (F.pmod(seeded, F.lit(len(_PRIMES))) + 1).cast("int")).cast("long")
     edge = lambda j: F.floor(j * size / blocks).cast("long")
-    inside = lambda j: F.least(F.col("_end"), edge(j + 1)) - F.greatest(F.col("_start"), edge(j))
+    first = lambda j: F.greatest(F.col("_start"), edge(j))
     drawn = lambda j: F.pmod(j * prime + F.pmod(seeded, blocks), blocks) < more
     at = lambda i: F.floor(((i + 1) * blocks - 1) / size).cast("long")
-    part = F.aggregate(F.sequence(at(F.col("_start")), at(F.col("_end") - 1)), F.lit(0).cast("long"), lambda a, j: a + F.when(drawn(j), F.greatest(inside(j), F.lit(0).cast("long"))).otherwise(0))
-    return F.when((words > 0) & (quota > 0), passes * words + F.when(more > 0, part).otherwise(0)).otherwise(0).cast("long")
+    span = lambda j: F.struct((first(j) - F.col("_start")).alias("at"), (F.least(F.col("_end"), edge(j + 1)) - first(j)).alias("n"))
+    spans = F.filter(F.transform(F.filter(F.sequence(at(F.col("_start")), at(F.col("_end") - 1)), drawn), span), lambda x: x.n > 0)
+    some = (words > 0) & (quota > 0)
+    return F.when(some, passes).otherwise(0).cast("long"), F.when(some & (more > 0), spans).otherwise(F.array().cast("array<struct<at:bigint,n:bigint>>"))
+
+
+def drawn_text(text: Column, passes: Column, spans: Column) -> Column:
+    """The words that the mix takes of a text: the text once for each pass, then the words of each span, on lines of their own."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    parts = F.transform(spans, lambda x: F.concat_ws(" ", F.slice(words, (x.at + 1).cast("int"), x.n.cast("int"))))
+    return F.concat_ws("\n", F.array_repeat(text, passes.cast("int")), parts)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and source for every document, and the columns to carry.
 
-    `taken` counts words, repeats included, and never exceeds `epochs` times the size.
+    `taken` counts words, repeats included, and never exceeds `epochs` times the size.  Its
+    words are `passes` whole texts and the words of `spans` (at, n), both given where columns
+    are carried.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
@@ -106,4 +117,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     joined = dealt.withColumn("_cell", cell).join(parts.withColumnRenamed("_cell", "_c"), (F.col("_cell") == F.col("_c")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_n")), "left")
     stream = W.partitionBy("_cell", *keys).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = joined.withColumn("_end", F.sum("size").over(stream)).withColumn("_start", F.col("_end") - F.col("size")).withColumn("_seed", F.lit(seed))
-    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), _taken(block, epochs).alias("taken"), "source", *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    passes, spans = _draws(block, epochs)
+    placed = placed.withColumn("_passes", passes).withColumn("_spans", spans)
+    taken = F.col("_passes") * F.col("size") + F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.n)
+    draws = [F.col("_passes").alias("passes"), F.col("_spans").alias("spans")] if carry else []
+    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.alias("taken"), "source", *draws, *[F.col(f"_carry_{c}").alias(c) for c in carry])

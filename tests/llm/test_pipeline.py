@@ -30,3 +30,23 @@ def test_stages_take_effect(spark):
     assert set(kept["mixing"]) <= set(kept["pii"]) and len(kept["mixing"]) > 0.8 * len(kept["pii"])
     again = {r.doc_id: r.text for r in corpus_pipeline.run(spark, SF).collect()}
     assert again == kept["mixing"]
+
+
+def test_mixed_texts_consist_of_what_is_taken(spark):
+    from collections import Counter
+
+    from test_llm import words_of
+
+    docs = corpus_pipeline.table(spark, SF, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    size, out, target = Counter(), Counter(), {}
+    for r in docs.collect():
+        size[r.source] += len(words_of(r.text or ""))
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        w, whole = words_of(r.text), Counter(words_of(texts[r.doc_id]))
+        assert len(w) == r.taken and r.n_chars == len(r.text)
+        assert all(n <= 3 * whole[x] for x, n in Counter(w).items())
+        out[r.source] += len(w)
+        target[r.source] = r.target
+    assert all(abs(out[s] - target[s]) <= max(20, 0.01 * target[s]) for s in target)
+    assert any(out[s] < 0.9 * size[s] for s in target) or any(out[s] > 1.1 * size[s] for s in target)
