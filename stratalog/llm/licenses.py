@@ -55,6 +55,66 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
+#: The BSD licences, in parts: clauses may be numbered or not, a title or "All rights reserved" may come first.
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of {owner} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {holder} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {one} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd() -> list[tuple[str, str]]:
+    out = []
+    for n in (2, 3):
+        titles = ("", f"BSD {n}-Clause License\n", *(('BSD 3-Clause "New" or "Revised" License\n',) if n == 3 else ('BSD 2-Clause "Simplified" License\n',)))
+        for title in titles:
+            for rights in ("", "All rights reserved.\n"):
+                for numbered in (False, True):
+                    for owner in ("the copyright holder", "the copyright owner")[: n - 1]:
+                        for holder, one in (("HOLDERS", "HOLDER"), ("HOLDERS", "OWNER"), ("HOLDERS", "HOLDERS")):
+                            clauses = [f"{k + 1}. " * numbered + c.format(owner=owner) for k, c in enumerate(_BSD_CLAUSES[:n])]
+                            out.append((f"BSD-{n}-Clause", "\n".join([title + rights + _BSD_GRANT, *clauses, _BSD_END.format(holder=holder, one=one)])))
+    return out
+
+
+#: Texts beside KNOWN, which the SQL does not know.
+MORE = (
+    *_bsd(),
+    *((x, f"SPDX-License-Identifier: {x}") for x in (
+        "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+        "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+    )),
+)
+#: Digests of entire licences too long to be here, as canonical() makes them: whole, and where terms have a marked end, up to it with the mark and without.
+DIGESTS = (
+    ("Apache-2.0", "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e"),
+    ("Apache-2.0", "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d"),
+    ("Apache-2.0", "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c"),
+    ("Artistic-1.0-Perl", "93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-2.0", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    ("GPL-3.0", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("GPL-3.0", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+    ("GPL-3.0", "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee"),
+    ("LGPL-2.0", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.0", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),
+    ("LGPL-2.0", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499"),
+    ("LGPL-2.1", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-2.1", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),
+    ("LGPL-2.1", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "35f82aa0956f78c6101000ae9662fa0b3da3f2baf46c72fa9abdf5f68325097c"),
+    ("MPL-2.0", "0a827e96fc123bd937ca51329bc5a3ded577524e37d1c4eb5ace3dab3fe078d5"),
+)
 #: A line that claims copyright, after lower-casing; it may be the first or the last.
 CLAIM = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,7 +135,8 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """known (digest), license of the known licences and notices."""
-    return spark.createDataFrame(KNOWN, "license string, text string").select("license", digest(F.col("text")).alias("known")).distinct()
+    texts = spark.createDataFrame([*KNOWN, *MORE], "license string, text string").select("license", digest(F.col("text")).alias("known"))
+    return texts.union(spark.createDataFrame(DIGESTS, "license string, known string")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:

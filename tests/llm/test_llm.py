@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -416,3 +417,20 @@ def test_spaced_and_doubled_letters_are_restored(spark):
     assert found == [{"loser"}, {"idiot"}, {"idiot"}, {"loser"}, {"idiot"}, {"moron"}, {"moron"}]
     hidden = spark.createDataFrame(make([(k, t + " " + prose(r, n=20), "en", "a") for k, t in enumerate(disguised)]), DOCS)
     assert all(x.score > 0.5 for x in toxicity.score(hidden, model).collect())
+
+
+def test_entire_licences_are_known(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + licenses._BSD_GRANT + "\n\n" + "".join(f"* {c.format(owner='the copyright holder')}\n" for c in licenses._BSD_CLAUSES) + licenses._BSD_END.format(holder="HOLDERS", one="HOLDER")
+    rows, want = [(0, bsd, None, None), (1, "code\n# SPDX-License-Identifier: MPL-2.0\n", None, None)], {0: "BSD-3-Clause", 1: None}
+    for k, (name, license_) in enumerate(names.items()):
+        if not os.path.exists(f"{folder}/{name}"):
+            continue
+        with open(f"{folder}/{name}") as f:
+            rows.append((10 + k, f.read(), None, None))
+        want[10 + k] = license_
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(make(rows), DOCS)).collect()}
+    assert {i: x.license for i, x in got.items()} == want and got[1].notices == "MPL-2.0"
+    found = licenses.known(spark).groupBy("known").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()
+    assert not found
