@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import slices, text_bytes
 
 SAMPLE, LEXICON = 16_000, 20_000
+#: Toxic documents that an entry of the lexicon must occur in, however many there are.
+LEAST = 3
 #: Lengths of the word beginnings in the lexicon; whole words are there too.
 BEGINNINGS = range(3, 9)
 #: Letters that a sign may stand for.
@@ -242,7 +244,7 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> tuple[dict[str, floa
         return {}, t, n
     odds = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("n") + 0.5) / (n + 1.0))
     low = odds - 1.5 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
-    best = counts.where((F.col("gram") != "") & (F.col("t") >= max(3, t // 100))).withColumn("w", low).where("w > 1").orderBy(F.desc("w"), "gram").limit(limit)
+    best = counts.where((F.col("gram") != "") & (F.col("t") >= LEAST)).withColumn("w", low).where("w > 1").orderBy(F.desc("w"), "gram").limit(limit)
     weights = {r.gram: r.w for r in best.collect()}
     counts.unpersist()
     return weights, t, n

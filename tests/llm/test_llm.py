@@ -434,3 +434,9 @@ def test_entire_licences_are_known(spark):
     assert {i: x.license for i, x in got.items()} == want and got[1].notices == "MPL-2.0"
     found = licenses.known(spark).groupBy("known").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()
     assert not found
+
+
+def test_rare_insults_of_a_large_sample_are_learned(spark):
+    rows = [(f"plain words {'zounderkite' if k < 8 else 'more'}".encode(), int(k < 900)) for k in range(9000)]
+    weights, t, n = toxicity.learn_lexicon(spark.createDataFrame(rows, "text binary, toxic long"))
+    assert (t, n) == (900, 8100) and weights["zounderkite$"] > 1
