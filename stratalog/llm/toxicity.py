@@ -49,6 +49,7 @@ _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$€£]+$|_+$|^_+")
 _SPACED = re.compile(r"(?<!\S)(?:\S(?:\s+|[._*-])){3,}\S(?!\S)")
 _GAPS = re.compile(r"[\s._*-]")
 _TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
+_DOUBLES = re.compile(r"(.)\1+")
 #: Longest word that a run of spaced letters is cut into, and cost of a cut in nats.
 LONGEST, CUT = 24, 1.0
 _LETTERS = 28
@@ -108,6 +109,10 @@ class Model:
     weights: dict[str, float]
     beta: np.ndarray
 
+    def __post_init__(self) -> None:
+        # Leaving repeats out keeps the word without any repeats, so only words that begin like an entry need decoding.
+        self.single = {_DOUBLES.sub(r"\1", g.rstrip("$")) for g in self.weights}
+
     def restore(self, token: str) -> str:
         """The likeliest word behind a lower-case token."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -130,6 +135,10 @@ class Model:
         """The weight of a plain word, at least 0."""
         return max([self.weights.get(core + "$", 0.0), *(self.weights.get(core[:k], 0.0) for k in BEGINNINGS if k <= len(core))])
 
+    def may_weigh(self, single: str) -> bool:
+        """Whether a word without repeats begins with an entry without repeats."""
+        return any(single[:k] in self.single for k in range(1, len(single) + 1))
+
     def word(self, raw: str) -> tuple[str, float]:
         """The restored word and its weight, at least 0."""
         core = _EDGE.sub("", raw.lower())
@@ -138,7 +147,7 @@ class Model:
                 return "", 0.0
             core = self.restore(core)
         best = self.weight(core)
-        if not best and _DOUBLE.search(core):
+        if not best and _DOUBLE.search(core) and self.may_weigh(_DOUBLES.sub(r"\1", core)):
             other = self.restore(core)
             if weight := self.weight(other):
                 return other, weight
