@@ -3,19 +3,23 @@
 A document's set is its distinct word shingles, as 64-bit hashes.  One permutation deals
 them to `BINS` bins whose minima are the signature; an empty bin borrows from a bin found by
 its own sequence of random probes.  Bands of bins are bucket keys.  Equal sets are one class
-before anything else; in each bucket only edges to one centre are candidates, so pairs grow
-with the rows, not with their square.  Candidates are confirmed on the full sets, and links
-become components.  Buckets that still hold several components get further stars around
-the rows that meet most rows of other components, with pairs tested before left out.  What
-stars leave mixed is settled by an exact prefix-filter join of the shingles of its rows.
+before anything else, named by a 128-bit hash of the set.
+
+Bands are worked on in a few rounds, and what a round links is one component in the next.
+In each bucket with several components only edges to one centre, in the bucket's largest
+component, are candidates, so pairs grow with the rows, not with their square.  Candidates
+are confirmed on the full sets.  Further rounds take all buckets and, as centre, the row that
+meets most rows of other components.  What stars leave mixed is settled by an exact
+prefix-filter join of the shingles of its rows.
 
 At 32 bands of 4 bins a pair at the threshold of 0.85 misses all buckets with probability
 below 1e-9; all pairs that share a bucket are tested or ruled out, unless links connect them.
 
 Defined results: documents without words or text have n_shingles 0 and are a component of
 their own; with fewer words than a shingle the whole sequence is the one shingle; rows of one
-doc_id are one node; a row with a null doc_id takes the component of its equals, or null; an
-empty table gives an empty result; other columns are ignored.
+doc_id with words are one node, whatever their texts; a row with a null doc_id takes the
+component of its equals, or null; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import Words, lower_table, mix64, settle, slices, stored, text_bytes
+from stratalog.llm.common import WORD, Words, free_name, lower_table, mix64, settle, slices, stored, text_bytes
 from stratalog.llm.components import components, extend
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Rounds of stars at most, before the pairs that stars leave untested are found by a join.
-STARS = 4
+#: First and last band, exclusive, of each round of stars.
+ROUNDS = ((0, 1), (1, 4), (4, 12), (12, BANDS))
+#: Rounds of stars over all bands, before the pairs that stars leave untested are found by a join.
+STARS = 2
+#: Classes with more than this share of all rows are broadcast: there are at most so many.
+HEAVY = 100_000
+#: Edges up to which their table is broadcast, to spare shuffles of texts.
+EDGES = 200_000
 #: Slots of the sketch of shingle counts that orders prefixes.
 SKETCH = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,25 +117,29 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set and the band keys of every row."""
+    """doc_id, mark (a hash of the text), n_shingles, node (the hash of the set, null if it is empty) and the band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             sets = shingle_sets(texts, size)
             n = np.array([len(s) for s in sets], np.int64)
             with np.errstate(over="ignore"):
-                one = np.array([np.sum(mix64(s), dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                two = np.array([np.sum(mix64(s ^ _GOLD), dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                sums = [(np.sum(mix64(s), dtype=np.uint64), np.sum(mix64(s ^ _GOLD), dtype=np.uint64)) for s in sets]
+            nodes = pa.array([int(x).to_bytes(8) + int(y).to_bytes(8) if k else None for k, (x, y) in zip(n, sums, strict=True)], pa.binary())
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sets)[n > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(one), pa.array(two), bands], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), nodes, bands], ["doc_id", "mark", "n_shingles", "node", "bands"])
+
+    rows = _marked(docs)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, n_shingles long, node binary, bands array<long>")
 
-    rows = docs.select("doc_id", text_bytes().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, h1 long, h2 long, bands array<long>")
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(text_bytes()).alias("mark"), text_bytes().alias("text"))
 
 
 def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets have 100 * intersection >= percent * union.  texts: doc_id, text (bytes)."""
+    """The edges (a, b) whose sets have 100 * intersection >= percent * union.  texts: node, text (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
@@ -150,36 +164,45 @@ def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 at = end
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    one = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    few = edges.limit(EDGES + 1).count() <= EDGES
+    small = F.broadcast if few else lambda df: df
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(small(edges), "a")
+    other = texts.join(small(edges.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+    two = one.join(other.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = edges.schema["a"].dataType.simpleString()
     return two.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, rep, comp and weight of the rows of buckets with several components; weight: rows of others that rep meets in its buckets."""
-    now = shared.join(labels, shared.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    own = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_own"))
-    every = own.groupBy("key").agg(F.sum("_own").alias("_all"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1").drop("_comps")
-    now = settle(now.join(own.join(every, "key"), ["key", "comp"]))
-    weights = now.groupBy("rep").agg(F.sum(F.col("_all") - F.col("_own")).alias("weight"))
-    return now.select("key", "rep", "comp").join(weights, "rep")
+    """key, node, n, comp, own (rows of comp in the bucket) and every (rows of the bucket) of the rows of buckets with several components."""
+    now = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    own = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
+    every = own.groupBy("key").agg(F.sum("own").alias("every"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1").drop("_comps")
+    return now.join(own.join(every, "key"), ["key", "comp"])
 
 
-def _stars(mixed: DataFrame) -> DataFrame:
-    """Edges (a, b) of each bucket's rows to its heaviest row, across components."""
-    centre = mixed.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("rep").alias("h"), "rep", "comp")).alias("c"))
-    return mixed.join(centre, "key").where("comp <> c.comp").select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
+def _stars(mixed: DataFrame, weigh: bool, percent: int) -> DataFrame:
+    """Edges (a, b) of each bucket's rows to a row of its largest component, across components; sizes alone rule out others.
+
+    The centre is the first row or, with weigh, the one that meets most rows of other components in its buckets.
+    """
+    weight = F.lit(0)
+    if weigh:
+        mixed = settle(mixed)
+        mixed, weight = mixed.join(mixed.groupBy("node").agg(F.sum(F.col("every") - F.col("own")).alias("weight")), "node"), F.col("weight")
+    centre = mixed.groupBy("key").agg(F.max(F.struct("own", "comp", weight.alias("weight"), "node", "n")).alias("c"))
+    near = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+    return mixed.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & near).select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
 
 
 def prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) across the components of rest (rep, comp) that contain all links, by a prefix-filter join.
+    """Edges (a, b) across the components of rest (node, comp) that contain all links, by a prefix-filter join.
 
     Two sets that are linked share one of the first n - ceil(percent n / 100) + 1 shingles of
     each in any one order.  The order is by a sketch of the shingles' counts, rare ones first,
     then by hash; where both sets are at the shared shingle bounds what they can have in common.
     """
-    rows = stored(texts.join(rest, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text"))
+    rows = stored(texts.join(rest, "node").select("node", "comp", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -205,68 +228,104 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) ->
                 place.append(np.arange(len(first)))
                 n.append(np.full(len(first), len(x)))
             take = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n))], ["rep", "comp", "token", "at", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place)), pa.array(np.concatenate(n))], ["node", "comp", "token", "at", "n"])
 
-    kind = rest.schema["rep"].dataType.simpleString()
-    dealt = settle(rows.mapInArrow(prefixes, f"rep {kind}, comp {kind}, token long, at long, n long"))
+    kind = rest.schema["node"].dataType.simpleString()
+    dealt = settle(rows.mapInArrow(prefixes, f"node {kind}, comp {kind}, token long, at long, n long"))
     several = dealt.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("token")
     dealt = dealt.join(several, "token", "left_semi")
     x, y = dealt.alias("x"), dealt.alias("y")
-    across = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+    across = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
-    return x.join(y, across & near & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    return x.join(y, across & near & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: int = STARS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept of every row."""
-    signed = settle(signatures(docs, size))
-    keys = ["h1", "h2", "n_shingles"]
-    classes = signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    member = settle(signed.join(classes, keys, "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
-    banded = member.where("bands is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("_last")).where("b <> _last").drop("_last")
-    shared = settle(banded.join(buckets, "key"))  # rows of buckets with more than one class
+def _classes(signed: DataFrame) -> DataFrame:
+    """node, first (its smallest doc_id, null last, and the mark of that row), n, bands and rows of every class of equal sets."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    own = signed.where("node is not null").groupBy("node")
+    return own.agg(first, F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+
 
-    def plausible(edges: DataFrame) -> DataFrame:
-        """Sizes alone rule out the others."""
-        n = shared.select("rep", "n").distinct()
-        near = edges.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-        return near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+def _same_id(signed: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of one doc_id."""
+    ids = signed.where("node is not null and doc_id is not null").select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min(F.xxhash64("node")).alias("_low"), F.max(F.xxhash64("node")).alias("_high")).where("_low <> _high").select("doc_id")
+    if several.isEmpty():
+        return ids.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    ids = ids.join(several, "doc_id").distinct()
+    return ids.join(ids.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    tested = settle(plausible(shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()))
+
+def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, percent: int, stars: int) -> DataFrame:
+    """node, component of the classes that have links.  given: edges that need no test."""
+    banded = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
+    shared = settle(banded.join(buckets, "key"))  # rows of buckets with more than one class
     # The texts that any star can need, once: without exact copies and documents that share no bucket.
-    wanted = shared.select("rep").distinct()
-    texts = stored(docs.select("doc_id", text_bytes().alias("text")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
-    links = settle(confirm(tested, texts, size, percent))
-    labels = settle(components(links))
-    for _ in range(1, stars):
-        fresh = plausible(_stars(_mixed(shared, labels)))
-        fresh = settle(fresh.join(tested, ["a", "b"], "left_anti"))
+    wanted = classes.join(shared.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    rows = _marked(docs)
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")
+    texts = stored(texts.dropDuplicates(["node"]))
+    labels, tested = settle(components(given)), shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+    def test(edges: DataFrame) -> bool:
+        nonlocal labels, tested
+        fresh = settle(edges.join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return False
         found, tested = settle(confirm(fresh, texts, size, percent)), tested.union(fresh)
         if not found.isEmpty():
             labels = extend(labels, found)
-    rest = settle(_mixed(shared, labels).select("rep", "comp").distinct())
+        return True
+
+    for low, high in ROUNDS:
+        test(_stars(_mixed(shared.where(F.col("band").between(low, high - 1)), labels), False, percent))
+    for _ in range(stars):
+        if not test(_stars(_mixed(shared, labels), True, percent)):
+            break
+    rest = settle(_mixed(shared, labels).select("node", "comp").distinct())
     if not rest.isEmpty():
-        fresh = settle(prefix_pairs(rest, texts, size, percent).join(tested, ["a", "b"], "left_anti"))
-        found = settle(confirm(fresh, texts, size, percent))
-        if not found.isEmpty():
-            labels = extend(labels, found)
-    labelled = member.join(labels, member.rep == labels.node, "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        test(prefix_pairs(rest, texts, size, percent))
+    return labels
+
+
+def _firsts(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, first (of its component) and rows of every class."""
+    linked = classes.join(labels, "node").select("component", "node", "first")
+    lowest = linked.groupBy("component").agg(F.min("first").alias("_first"))
+    joined = classes.select("node", "first", "rows").join(linked.select("node", "component").join(lowest, "component").select("node", "_first"), "node", "left")
+    return joined.select("node", F.coalesce("_first", "first").alias("first"), "rows")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, stars: int = STARS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept of every row."""
+    signed = settle(signatures(docs, size))
+    classes = settle(_classes(signed))
+    labels = _linked(classes, _same_id(signed), docs, size, percent, stars)
+    firsts = settle(_firsts(classes, labels).select("node", F.col("first.doc_id").alias("component_id"), "rows"))
+    signed, total = signed.select("doc_id", "n_shingles", "node"), signed.count()
+    hot = F.broadcast(firsts.where(F.col("rows") * HEAVY > total).drop("rows"))  # large groups of copies stay where they are
+    some = signed.where("node is not null")
+    rows = some.join(hot, "node").unionByName(some.join(hot, "node", "left_anti").join(firsts.drop("rows"), "node"))
+    rows = rows.unionByName(signed.where("node is null").withColumn("component_id", F.col("doc_id")))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    A document without an id has a place of its own behind all others; a doc_id names one
-    document, so of its rows one stays.
+    Only equal and linked texts are a group here: different texts that share a doc_id, or have
+    none, stay apart.  Documents without words stay.  Columns may have any names.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id() + F.lit(1 << 62))
-    keyed = stored(docs.withColumn("_key", key)) if docs.where("doc_id is null").limit(1).count() else docs.withColumn("_key", F.col("doc_id").cast("long"))
-    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), size, percent).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    signed = settle(signatures(docs, size))
+    classes = settle(_classes(signed))
+    labels = _linked(classes, signed.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")), docs, size, percent, STARS)
+    one, two = free_name(docs, "key"), free_name(docs, "mark")
+    keep = _firsts(classes, labels).select(F.col("first.doc_id").alias(one), F.col("first.mark").alias(two)).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    full = docs.where(text.rlike(WORD)).withColumns({two: F.xxhash64(text_bytes()), one: F.col("doc_id")})
+    kept = full.join(keep, full[one].eqNullSafe(keep[one]) & (full[two] == keep[two]), "left_semi").dropDuplicates([one, two])
+    return kept.select(*docs.columns).union(docs.where(~text.rlike(WORD)))

@@ -130,6 +130,47 @@ def test_copies_of_an_original_with_a_large_id_are_one_component(spark):
     assert got.count() == 1001 and got.select("component_id").distinct().count() == 1
 
 
+def test_pairs_on_a_common_template_are_all_linked(spark):
+    """A thousand documents of one template: pairs are linked at 0.87, rows of different pairs stay just below the threshold."""
+    r = random.Random(12)
+    words, rows = [f"w{r.randint(0, 10**6)}" for _ in range(400)], []
+    for k in range(500):
+        pair = list(words)
+        for i in r.sample(range(400), 3):
+            pair[i] = f"x{r.randint(0, 10**9)}"
+        for m in range(2):
+            w = list(pair)
+            for i in r.sample(range(400), 5):
+                w[i] = f"x{r.randint(0, 10**9)}"
+            rows.append((2 * k + m, " ".join(w), "en", "a"))
+    sets = [set(x.tolist()) for x in minhash.shingle_sets([t.encode() for _, t, *_ in rows], 3)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(make(rows), DOCS), 3, 85).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and 200 < len(set(got.values())) < 600
+
+
+def test_rows_of_one_id_are_one_node_of_classes(spark):
+    x, y, z = (prose(random.Random(k), n=40) for k in range(3))
+    rows = [(1, x, "en", "a"), (5, x, "en", "a"), (5, y, "en", "b"), (9, y, "en", "a"), (5, "", None, None), (None, z, None, None), (None, y, None, None)]
+    frame = spark.createDataFrame(make(rows), DOCS)
+    got = collections.Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash.near_duplicates(frame, 3, 85).collect())
+    assert got == collections.Counter([(1, True, 1, True), (5, True, 1, False), (5, True, 1, False), (9, True, 1, False), (5, False, 5, True), (None, True, None, False), (None, True, 1, False)])
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in minhash.deduplicate(frame, 3, 85).collect()))
+    assert kept == sorted([(False, 1, x), (False, 5, y), (False, 5, ""), (True, 0, z)])
+
+
 def test_prefix_pairs_contain_all_links(spark):
     r, rows = random.Random(6), []
     for k in range(60):
@@ -137,8 +178,8 @@ def test_prefix_pairs_contain_all_links(spark):
         for i in r.sample(range(100), r.randint(0, 4)):
             w[i] = f"x{r.randint(0, 10**9)}"
         rows.append((k, " ".join(w).encode()))
-    texts_ = spark.createDataFrame(rows, "doc_id long, text binary")
-    got = {(x.a, x.b) for x in minhash.prefix_pairs(texts_.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp")), texts_, 3, 85).collect()}
+    texts_ = spark.createDataFrame(rows, "node long, text binary")
+    got = {(x.a, x.b) for x in minhash.prefix_pairs(texts_.select("node", F.col("node").alias("comp")), texts_, 3, 85).collect()}
     sets = {i: set(x.tolist()) for i, x in enumerate(minhash.shingle_sets([t for _, t in rows], 3))}
     linked = {(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
     assert linked and linked <= got and len(got) < 60 * 59 / 2
