@@ -55,9 +55,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = suffixtree.fit(docs, fold("doc_id", 7) != 2)
-    scored = suffixtree.score(docs, model)
-    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = suffixtree.score(docs, fold("doc_id", 7) != 2)
+    return scored.rows.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(scored.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,36 +377,95 @@ def test_language(docs, empty):
     assert language.identify(both, langs, p).first().lang_set == ["en", "fr"]
 
 
-def test_suffix_tree_scores(docs, empty):
-    train = common.fold("doc_id", 7) != 2
-    model = suffixtree.fit(docs, train)
-    counts, every = collections.Counter(), []
-    for i, t in texts(docs):
-        w = [*(x.encode() for x in words_of(lower(t))), b"\n"]
-        every.append((i, w))
-        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
-            counts.update(w)
+def tree_scores(texts_, heavy, divergence):
+    """Plain suffix tree of one and two words before a token.  texts_: tokens and whether to learn from them."""
+    counts = collections.Counter(w for tokens_, learn in texts_ if learn for w in tokens_)
     total, kinds = sum(counts.values()), len(counts)
-    assert (model.tokens, model.types) == (total, kinds)
-    got = collections.defaultdict(list)
-    for x in suffixtree.score(docs, model).collect():
-        got[x.doc_id].append(x)
-    for i, w in every:
-        x = got[i][0]
-        base = sum(math.log10((counts[y] + 1) / (total + kinds + 1)) for y in w)
-        assert (x.n_tokens, x.n_known) == (len(w), sum(counts[y] > 0 for y in w)) and math.isclose(x.base_score, base, rel_tol=1e-9)
-        assert x.score < 0
-    words = [y for y in counts if y != b"\n"] + [b"unseen", b"eauthe"]
-    hashes = common.Words(words, spaces=b"\n").hashes()
-    inside = model.inside.score(words, hashes, np.array([counts[y] for y in words]))
-    symbols = model.inside.symbols.of(common.Words(words, spaces=b"\n"), hashes)
-    mass = np.bincount(symbols, 10.0**inside)
-    assert mass.max() < 1 + 1e-9  # of each symbol's words
-    code = np.arange(1, model.inside.symbols.count + 1, dtype=np.uint64)
-    moves = 10 ** model.tree.score(len(code), [(np.arange(len(code)), code)])
-    assert math.isclose(moves.sum(), 1, rel_tol=1e-6)
-    none = suffixtree.fit(empty, F.lit(True))
-    assert none.tokens == 0 and suffixtree.score(docs, none).count() == docs.count() and suffixtree.score(empty, model).count() == 0
+    often = {w for w in counts if counts[w] * heavy >= total}
+    u = lambda w: (counts[w] + 1) / (total + kinds + 1)
+    rest = max(1 - sum(map(u, often)), 1e-12)
+    test_u = lambda w: u(w) if w in often else rest / max(1, kinds + 1 - len(often))
+    after, one, two = (collections.defaultdict(collections.Counter) for _ in range(3))
+
+    def moves(tokens_):
+        for k, w in enumerate(tokens_):
+            a, b = tokens_[k - 1] if k else "\n", tokens_[k - 2] if k > 1 else "\n"
+            yield w, a, b, "own" if a not in often else "away" if b not in often else "none"
+
+    for tokens_, learn in texts_:
+        for w, a, b, kind in moves(tokens_) if learn else ():
+            if a in often:
+                after[a][w if w in often else None] += 1
+            else:
+                one[a][w] += 1
+            if kind != "none":
+                two[kind, a, b][w] += 1
+
+    def smooth(c, w, p):
+        return (c[w] + len(c) * p) / (sum(c.values()) + len(c)) if c else p
+
+    def frequent(a, w, p):
+        c = after[a]
+        if not c:
+            return p
+        seen = c[w] if w in often else c[None] * p / rest
+        return (seen + len(c) * p) / (sum(c.values()) + len(c))
+
+    def gain(c, p):
+        return sum(n * math.log(smooth(c, w, p(w)) / p(w)) for w, n in c.items())
+
+    suffix = lambda kind, a: (lambda w: smooth(one[a], w, test_u(w))) if kind == "own" else (lambda w: frequent(a, w, test_u(w)))
+    keep2 = {x for x, c in list(two.items()) if gain(c, suffix(x[0], x[1])) >= divergence}
+    keep1 = {a for a, c in list(one.items()) if gain(c, test_u) >= divergence} | {a for kind, a, _ in keep2 if kind == "own"}
+    out = []
+    for tokens_, _ in texts_:
+        score = 0.0
+        for w, a, b, kind in moves(tokens_):
+            p = frequent(a, w, u(w)) if a in often else smooth(one[a], w, u(w)) if a in keep1 else u(w)
+            if (kind, a, b) in keep2:
+                p = smooth(two[kind, a, b], w, p)
+            score += math.log10(p)
+        out.append(score)
+    return out, counts
+
+
+def test_suffix_tree_scores_are_those_of_a_plain_tree(spark, docs, empty):
+    train = common.fold("doc_id", 7) != 2
+    r = random.Random(3)
+    some = ["the", "of", "cat", "sat", "on", "mat", "Über", "x"]
+    rows = [(i, " ".join(r.choice(some[: 2 + i % 7]) if r.random() < 0.8 else f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 40))), "en", "a") for i in range(1000, 1150)]
+    rows += [(1200 + k, "a passage that is repeated word for word in " + ("some" if k % 2 else "other") + " texts", "en", "a") for k in range(6)]
+    every = docs.union(spark.createDataFrame(make(rows), DOCS))
+    plain = [(i, [*words_of(lower(t)), "\n"]) for i, t in texts(every)]
+    learn = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in plain]
+    for heavy, divergence in ((1000, 2.0), (30, 2.0), (10, 20.0)):
+        want, counts = tree_scores([(w, x) for (_, w), x in zip(plain, learn, strict=True)], heavy, divergence)
+        total, kinds = sum(counts.values()), len(counts)
+        scored = suffixtree.score(every.repartition(5), train, heavy, divergence, 3000, 400)
+        assert (scored.tokens, scored.types) == (total, kinds)
+        got = collections.defaultdict(list)
+        for x in scored.rows.collect():
+            got[x.doc_id].append(x)
+        for (i, w), value in zip(plain, want, strict=True):
+            base = sum(math.log10((counts[y] + 1) / (total + kinds + 1)) for y in w)
+            assert len(got[i]) == sum(j == i for j, _ in plain)
+            x = got[i][0]
+            assert (x.n_tokens, x.n_known) == (len(w), sum(counts[y] > 0 for y in w)) and math.isclose(x.base_score, base, rel_tol=1e-9), i
+            assert math.isclose(x.score, value, rel_tol=1e-5), (i, heavy)
+    held = [(value, sum(math.log10((counts[y] + 1) / (total + kinds + 1)) for y in w)) for (_, w), x, value in zip(plain, learn, want, strict=True) if not x]
+    assert sum(a for a, _ in held) > sum(b for _, b in held)
+
+
+def test_suffix_tree_without_anything_to_learn_from(docs, empty):
+    none = suffixtree.score(docs, F.lit(None).cast("boolean"))
+    assert (none.tokens, none.types) == (0, 0) and {(x.score, x.n_known) for x in none.rows.collect()} == {(0.0, 0)} and none.rows.count() == docs.count()
+    assert suffixtree.score(empty, F.lit(True)).rows.count() == 0
+
+
+def test_packing_of_arrays():
+    kinds = [np.uint64, np.uint8, np.float32]
+    arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint8), np.array([0.5, 3.0], np.float32)]
+    assert all((x == y).all() for x, y in zip(suffixtree._unpack(suffixtree._pack(arrays), kinds), arrays, strict=True))
 
 
 def test_licenses(spark, docs, empty):
