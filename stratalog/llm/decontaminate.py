@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import Words, settle, slices, text_bytes
+from stratalog.llm.common import Words, free_name, settle, slices, text_bytes
 
 BLOCK_WORDS = 200_000
 
@@ -221,16 +221,20 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs with n_words, hit_spans and hit_items: merged spans of hit words, and the ids of the items.
+#: Blocks of items that are passed over the documents before these are written.
+TOGETHER = 4
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items")) -> DataFrame:
+    """docs with n_words, hit_spans and hit_items: merged spans of hit words, and the ids of the items.  names: other names for these.
 
     A span has its first word and the word after its last, and the same as bytes of the text.
     """
     kind = "array<struct<first:long,last:long,from_byte:long,to_byte:long>>"
-    out = docs.drop("n_words", "hit_spans", "hit_items").withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast(kind), "hit_items": F.array().cast("array<string>")})
+    out = docs.drop(*names).withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(None).cast(kind), names[2]: F.array().cast("array<string>")})
     column = next(i for i, c in enumerate(out.columns) if c.lower() == "text")
     for k, automaton in enumerate(blocks(benchmark, window)):
-        out = _pass(settle(out) if k else out, automaton, column)
+        out = _pass(settle(out) if k and k % TOGETHER == 0 else out, automaton, column)
     return out
 
 
@@ -291,16 +295,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_percent:
 
     An n_chars column follows the new text.
     """
-    found = scan(docs, benchmark, window)
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    raw = F.col("text").cast("binary")
-    pieces = F.aggregate(
-        "hit_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").cast("binary").alias("kept")),
-        lambda a, s: F.struct(s["to_byte"].alias("at"), F.concat(a["kept"], F.substring(raw, (a["at"] + 1).cast("int"), (s["from_byte"] - a["at"]).cast("int"))).alias("kept")),
-        lambda a: F.concat(a["kept"], F.substring(raw, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))).cast("string"),
-    )
-    text = F.when(F.size("hit_spans") > 0, pieces).otherwise(F.col("text"))
-    kept = found.where(100 * hit <= max_percent * F.col("n_words")).withColumn("_text", text)
-    chars = {"n_chars": F.when(F.size("hit_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return kept.withColumns(chars).withColumn("text", F.col("_text")).select(*docs.columns)
+    n_words, hit_spans, hit_items, new = (free_name(docs, x) for x in ("n_words", "hit_spans", "hit_items", "new"))
+    found = scan(docs, benchmark, window, (n_words, hit_spans, hit_items))
+    hit = F.aggregate(hit_spans, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+
+    def pieces(both: Column) -> Column:
+        """The text between the spans and after the last, each cut out of the bytes."""
+        spans, raw, n = both["spans"], both["raw"], F.size(both["spans"])
+
+        def piece(i: Column) -> Column:
+            start = F.when(i > 1, F.element_at(spans, F.greatest(i - 1, F.lit(1)))["to_byte"]).otherwise(0)
+            end = F.when(i <= n, F.element_at(spans, F.least(i, n))["from_byte"]).otherwise(F.octet_length(raw))
+            return F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+
+        return F.transform(F.sequence(F.lit(1), n + 1), piece)
+
+    both = F.struct(F.col(hit_spans).alias("spans"), F.col("text").cast("binary").alias("raw"))
+    text = F.when(F.size(hit_spans) > 0, F.concat_ws("", F.element_at(F.transform(F.array(both), pieces), 1))).otherwise(F.col("text"))
+    kept = found.where(100 * hit <= max_percent * F.col(n_words)).withColumn(new, text)
+    chars = {"n_chars": F.when(F.size(hit_spans) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return kept.withColumns(chars).withColumn("text", F.col(new)).select(*docs.columns)

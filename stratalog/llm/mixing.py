@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import WORD, broadcast_if_small, settle
+from stratalog.llm.common import WORD, broadcast_if_small, free_name, settle
 
 #: Words of a block.
 BLOCK = 16
@@ -88,15 +88,30 @@ def drawn_text(text: Column, passes: Column, spans: Column) -> Column:
     return F.concat_ws("\n", F.array_repeat(text, passes.cast("int")), parts)
 
 
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """What the mix draws of each document, as its text, repeats included; an n_chars column follows.
+
+    Behind the columns of docs come size, source_size, target and taken, with underscores before
+    names that docs has itself.  Documents of which nothing is drawn go.
+    """
+    rows, names = mix(docs, carry=tuple(docs.columns)).where("taken > 0"), [c.lower() for c in docs.columns]
+    columns = [F.col(f"carry_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    text = drawn_text(F.col(f"carry_{names.index('text')}").cast("string"), F.col("passes"), F.col("spans"))
+    columns[names.index("text")] = text.alias(docs.columns[names.index("text")])
+    if "n_chars" in names:
+        columns[names.index("n_chars")] = F.length(text).cast(docs.schema["n_chars"].dataType).alias(docs.columns[names.index("n_chars")])
+    return rows.select(*columns, *[F.col(c).alias(free_name(docs, c)) for c in ("size", "source_size", "target", "taken")])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, block: int = BLOCK, shard: int = SHARD, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and source for every document, and the columns to carry.
 
     `taken` counts words, repeats included, and never exceeds `epochs` times the size.  Its
     words are `passes` whole texts and the words of `spans` (at, n), both given where columns
-    are carried.
+    are carried.  Carried columns are named by their places: carry_0, carry_1 and so on.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     sized = base if carry else settle(base)
     sums = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs))
     seats = F.round(F.sum("source_size").over(W.partitionBy(F.lit(0))) / block).cast("long")
@@ -121,4 +136,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     placed = placed.withColumn("_passes", passes).withColumn("_spans", spans)
     taken = F.col("_passes") * F.col("size") + F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x.n)
     draws = [F.col("_passes").alias("passes"), F.col("_spans").alias("spans")] if carry else []
-    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.alias("taken"), "source", *draws, *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.alias("taken"), "source", *draws, *[F.col(f"carry_{i}") for i in range(len(carry))])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import settle
+from stratalog.llm.common import broadcast_if_small, free_name, settle
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each has the leftmost non-overlapping matches of the plain pattern in the comment, but for
@@ -45,23 +45,63 @@ SHAPES = {
 }
 #: Rounds of scoring; distinct seeds that a pattern needs; least confidence of a pattern and score of an identifier.
 ROUNDS, SUPPORT, CONFIDENCE, SCORE = 3, 5, 0.6, 0.8
+#: Patterns or identifiers up to which their table is broadcast; beyond, it is joined by a shuffle that splits hot keys.
+SMALL = 100_000
 _SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(n: Column, step, kind: str) -> Column:
+    """What step gives for each of 1..n, as an array; step(at, i) gives the next position and an element.
+
+    A fold copies what it holds at each step, so it holds a position and no more than about
+    sqrt(n) elements, in blocks of as many.
+    """
+    none, none_of_none, zero = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>"), F.lit(0).cast("long")
+
+    def add(state: Column, i: Column) -> Column:
+        at, element = step(state["at"], i)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(element)).alias("out"))
+
+    def fold(width: Column) -> Column:
+        def block(state: Column, first: Column) -> Column:
+            return F.aggregate(
+                F.sequence(first, F.least(first + width - 1, n)),
+                F.struct(state["at"].alias("at"), none.alias("out")),
+                add,
+                lambda inner: F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out")),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), n, width), F.struct(zero.alias("at"), none_of_none.alias("out")), block, lambda s: F.flatten(s["out"]))
+
+    return F.when(n > 0, _let(F.ceil(F.sqrt(n)).cast("int"), fold)).otherwise(none)
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Matches with start and end in code points, and the text between them: prev and next."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:long,end:long,value:string,prev:string,next:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,prev:string,next:string>>")
 
-    def add(state: Column, i: Column) -> Column:
-        piece, hit = F.element_at(state["pieces"], i), F.element_at(state["hits"], i)
-        start = state["at"] + F.length(piece)
-        end = start + F.length(hit)
-        one = F.struct(start.alias("start"), end.alias("end"), hit.alias("value"), piece.alias("prev"), F.element_at(state["pieces"], i + 1).alias("next"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"), state["pieces"].alias("pieces"), state["hits"].alias("hits"))
+    def place(both: Column) -> Column:
+        piece, hit, n = lambda i: F.element_at(both["pieces"], i), lambda i: F.element_at(both["hits"], i), F.size(both["hits"])
+
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            start = at + F.length(piece(i))
+            return start + F.length(hit(i)), start
+
+        def rows(starts: Column) -> Column:
+            def row(i: Column) -> Column:
+                start = F.element_at(starts, i)
+                return F.struct(start.alias("start"), (start + F.length(hit(i))).alias("end"), hit(i).alias("value"), piece(i).alias("prev"), piece(i + 1).alias("next"))
+
+            return F.transform(F.sequence(F.lit(1), n), row)
+
+        return F.when(n > 0, _let(_scan(n, step, "bigint"), rows)).otherwise(none)
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"), pieces.alias("pieces"), hits.alias("hits"))
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(1), F.size(hits)), begin, add, lambda s: s["out"])).otherwise(empty)
+    return _let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), place)
 
 
 def _digits(value: Column) -> Column:
@@ -139,8 +179,8 @@ def discover(items: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
     for _ in range(rounds):
         seeds = graph.select("value", "pattern").join(scores, "value").groupBy("pattern", "kind").agg(F.sum("s").alias("s"))
         weight = F.col("s") / F.col("n") * F.least(F.lit(1.0), F.log2(F.col("s") + 1) / F.log2(F.lit(2.0 * support + 1)))
-        sure = seeds.where(F.col("s") >= support).join(sizes, "pattern").withColumn("c", weight).where(F.col("c") >= confidence).select("pattern", "kind", "c")
-        found = unseen.join(sure, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("s"))
+        sure = settle(seeds.where(F.col("s") >= support).join(sizes, "pattern").withColumn("c", weight).where(F.col("c") >= confidence).select("pattern", "kind", "c"))
+        found = unseen.join(broadcast_if_small(sure, SMALL), ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("s"))
         scores = settle(graph.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("s")).distinct().union(found.select("value", "kind", "s")))
     held = scores.where(F.col("s") >= score).join(graph.where("seed is null").select("value").distinct(), "value", "left_semi")
     return held.groupBy("value").agg(F.min(F.struct(-F.col("s"), F.col("kind"))).alias("best")).select("value", F.col("best.kind").alias("kind"))
@@ -160,7 +200,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
     found = settle(rows.select("doc_id", "row", text_key(F.col("text")).alias("key"), base_spans(F.col("text")).alias("base"), _items(F.col("text")).alias("items")))
     items = found.select("row", "base", F.explode("items").alias("item")).select("row", "base", "item.*")
-    known = discover(items.select("value", "patterns"))
+    known = broadcast_if_small(settle(discover(items.select("value", "patterns"))), SMALL)
     apart = F.forall("base", lambda b: (b["end"] <= F.col("start")) | (b["start"] >= F.col("end")))
     more = items.join(known, "value").where(apart).groupBy("row").agg(F.collect_set(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end", "value")).alias("more"))
     out = found.select("doc_id", "row", "key", "base").join(more, "row", "left")
@@ -184,18 +224,26 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; an n_chars column follows the new text."""
-    found = find(docs).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans")).select(F.col("key").alias("_found"), "spans")
-    joined = docs.join(found, text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_found"), "left")
+    key, spans_, new = (free_name(docs, x) for x in ("found", "spans", "new"))
+    found = find(docs).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans")).select(F.col("key").alias(key), F.col("spans").alias(spans_))
+    joined = docs.join(found, text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(key), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def cut(a: Column, s: Column) -> Column:
-        between = F.substring("text", (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        inside = s["start"] < a["at"]  # it overlaps the span before and is hidden with it
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["kept"], between, F.when(inside, "").otherwise(F.element_at(names, s["kind"] + 1))).alias("kept"))
-
-    text = F.aggregate(order, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept")), cut, lambda a: F.concat(a["kept"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    hidden = F.col("spans").isNotNull()
-    new = joined.withColumn("_text", F.when(hidden, text).otherwise(F.col("text")))
-    chars = {"n_chars": F.when(hidden, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return new.withColumns(chars).withColumn("text", F.col("_text")).select(*docs.columns)
+    order = F.array_sort(F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cut(both: Column) -> Column:
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            s = F.element_at(both["order"], i)
+            inside = s["start"] < at  # it overlaps the span before and is hidden with it
+            # Four bytes a character, so cutting out does not have to count characters.
+            between = F.decode(F.substring(both["wide"], (4 * at + 1).cast("int"), (4 * F.greatest(s["start"] - at, F.lit(0))).cast("int")), "UTF-32")
+            return F.greatest(at, s["end"]), F.concat(between, F.when(inside, "").otherwise(F.element_at(names, s["kind"] + 1)))
+
+        return _scan(F.size(both["order"]), step, "string")
+
+    pieces = _let(F.struct(order.alias("order"), F.encode(F.col("text"), "UTF-32").alias("wide")), cut)
+    last = F.array_max(F.transform(spans_, lambda s: s["end"]))
+    hidden = F.col(spans_).isNotNull()
+    text = F.concat(F.concat_ws("", pieces), F.substring(F.col("text"), (last + 1).cast("int"), F.lit(2**31 - 1)))
+    out = joined.withColumn(new, F.when(hidden, text).otherwise(F.col("text")))
+    chars = {"n_chars": F.when(hidden, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return out.withColumns(chars).withColumn("text", F.col(new)).select(*docs.columns)

@@ -3,7 +3,8 @@
 The ratio model has two multinomials over hashed byte 4-grams: the trusted target
 (documents labelled good) and the raw corpus (all documents).  A document's score is the
 mean log ratio of its grams, so length does not matter, and one fixed threshold decides for
-every document.
+every document.  Grams never cross documents and ratios are added in fixed point, so a score
+depends on the text and the model alone.
 
 The raw multinomial counts all documents.  The target is learned from at most `SAMPLE`
 good documents, chosen by a hash of the id; fewer documents make no difference to the rest.
@@ -29,6 +30,8 @@ from stratalog.llm.common import SPACES, Words, slices, sums_by_doc, text_bytes
 SAMPLE = 20_000
 #: Buckets of the hashed grams (a power of two) and bytes of a gram.
 BITS = 15
+#: Bits behind the point of a log ratio.
+FIXED = 20
 #: Mean log ratio under which a document is not kept.
 THRESHOLD = -0.5
 _RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -45,9 +48,14 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def _gram_bounds(words: Words) -> np.ndarray:
-    """Where each document's grams begin; grams across two documents count for the first."""
-    return np.minimum(words.doc_start, max(0, len(words.buf) - 3))
+def _inside(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Which grams lie in one document with its line feed, and where each document's grams begin."""
+    n = max(0, len(words.buf) - 3)
+    inside = np.ones(n, bool)
+    for k in (1, 2, 3):
+        last = words.doc_start[1:] - k
+        inside[last[(last >= 0) & (last < n)]] = False
+    return inside, np.minimum(words.doc_start, n)
 
 
 def gram_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -57,11 +65,12 @@ def gram_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
         total = np.zeros((2, 1 << BITS), np.int64)
         for rows, texts in slices(batches):
             words = Words(texts)
+            inside, bounds = _inside(words)
             grams = _grams(words.buf)
-            total[0] += np.bincount(grams, minlength=1 << BITS)
+            total[0] += np.bincount(grams[inside], minlength=1 << BITS)
             good = np.asarray(rows.column(1).to_pylist(), bool)
             if good.any():
-                some = np.repeat(good, np.diff(_gram_bounds(words)))
+                some = np.repeat(good, np.diff(bounds)) & inside
                 total[1] += np.bincount(grams[some], minlength=1 << BITS)
         at = np.flatnonzero(total[0])
         if len(at):
@@ -74,17 +83,17 @@ def gram_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The log ratio of each bucket.  Its size is fixed, 2**BITS floats."""
+    """The log ratio of each bucket, in 2**-FIXED nats.  Its size is fixed, 2**BITS numbers."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     counts = np.zeros((2, 1 << BITS))
     for row in gram_counts(docs, good).toLocalIterator():
         counts[:, row.bucket] = row.raw, row.target
     if not counts[1].sum():
-        return np.zeros(1 << BITS, np.float32)
+        return np.zeros(1 << BITS, np.int64)
     raw, target = counts + 0.5
     # A gram of the target is a gram of the corpus: smoothing the target towards the corpus keeps rare grams neutral.
     target = target + 2000 * raw / raw.sum()
-    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+    return np.round((np.log(target / target.sum()) - np.log(raw / raw.sum())) * (1 << FIXED)).astype(np.int64)
 
 
 def _rules(words: Words, texts: list[bytes]) -> list[np.ndarray]:
@@ -131,14 +140,14 @@ def quality(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, mi
         table = shared.value
         for rows, texts in slices(batches):
             words = Words(texts)
-            bounds = _gram_bounds(words)
-            n = np.diff(bounds)
-            sums = sums_by_doc(table[_grams(words.buf)].astype(np.float64), bounds)
-            llr = np.where(n > 0, sums / np.maximum(n, 1), 0.0)
+            inside, bounds = _inside(words)
+            n = sums_by_doc(inside, bounds)
+            sums = sums_by_doc(np.where(inside, table[_grams(words.buf)], 0), bounds)
+            llr = sums / np.maximum(n, 1) / (1 << FIXED)
             counts = _rules(words, texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, counts), pa.array(llr)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
 
     rows = docs.select("doc_id", text_bytes().alias("text"))
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_RULES}, llr double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.round("llr", 9) >= threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -66,6 +67,7 @@ def _byte_letters() -> np.ndarray:
         t[c] = t[c - 32] = c - 96
     t[0xC3:0xF8] = 27
     t[0x80:0xC0] = -1  # inside a character
+    t[0xFF] = _LETTERS  # between documents; no UTF-8 text has it
     return t
 
 
@@ -78,11 +80,12 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_LETTERS**3, np.int64)
         for _, texts in slices(batches):
-            x = _BYTE_LETTERS[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
+            x = _BYTE_LETTERS[np.frombuffer(b" " + b" \xff ".join(texts) + b" ", np.uint8)]
             x = x[x >= 0]
             x = x[(x > 0) | np.concatenate(([True], x[:-1] > 0))]
-            if len(x) > 2:
-                total += np.bincount((x[:-2] * _LETTERS + x[1:-1]) * _LETTERS + x[2:], minlength=len(total))
+            code = (x[:-2] * _LETTERS + x[1:-1]) * _LETTERS + x[2:]
+            apart = x == _LETTERS
+            total += np.bincount(code[~(apart[:-2] | apart[1:-1] | apart[2:])], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
@@ -192,7 +195,7 @@ def words_of(text: str) -> set[str]:
 
 def _features(words: list[float], n: int) -> list[float]:
     top = sorted(words, reverse=True)[:5]
-    return [1.0, top[0] if top else 0.0, sum(top), min(len(words), 10), sum(words) / np.sqrt(n + 10.0), np.log1p(n) / 5]
+    return [1.0, top[0] if top else 0.0, math.fsum(top), min(len(words), 10), math.fsum(words) / np.sqrt(n + 10.0), np.log1p(n) / 5]
 
 
 WIDTH = 6

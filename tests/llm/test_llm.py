@@ -279,10 +279,26 @@ def test_personal_data_spans(spark, empty):
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(s.startswith(k) for s in spans) for k in PATTERNS]
         assert set(spans) <= set(got[i].spans.split(",")) | ({""} if not spans else set())
     assert pii.report(empty).count() == 0
+    again = {x.doc_id: x.base_sha256 for x in pii.report(docs.repartition(7)).collect()}
+    assert again == {i: x.base_sha256 for i, x in got.items()}
     hidden = {x.doc_id: x.text for x in pii.redact(docs).collect()}
     assert hidden[500] is None and "@c.de" not in hidden[505] and hidden[505].count("[EMAIL]") == 500
 
 
+def test_personal_data_of_a_long_text_takes_linear_time(spark, tmp_path):
+    import time
+
+    took = []
+    for n in (2000, 8000, 32000):
+        spark.createDataFrame([(1, " ".join(f"é user{k}@ex.org now" for k in range(n)))], "doc_id long, text string").write.parquet(f"{tmp_path}/{n}")
+        frame = spark.read.parquet(f"{tmp_path}/{n}")
+        start = time.perf_counter()
+        assert pii.report(frame).first().n_email == n
+        assert pii.redact(frame).first().text == " ".join(["é [EMAIL] now"] * n)
+        took.append(time.perf_counter() - start)
+    assert took[2] < 60 and took[2] < 16 * max(took[1], 1)
+
+
 def test_contexts_find_unseen_identifiers(spark):
     r = random.Random(1)
     rows = [(i, f"{prose(r, n=5)} please call the number +1 212 555 {1000 + i} today {prose(r, n=5)}", "en", "a") for i in range(30)]
@@ -359,6 +375,24 @@ def test_quality_rules(spark, docs, empty):
         x = got[i][0]
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated), failed), i
         assert not (failed and x.kept)
+    plain = collections.Counter(), collections.Counter()
+    good = {i for i in range(60) if i % 3}
+    frames = [(i, t.encode() + b"\n") for i, t in texts(all_)]
+    for i, t in frames:
+        grams = [int(quality._grams(np.frombuffer(t[k : k + 4], np.uint8))[0]) for k in range(len(t) - 3)] if len(t) < 5000 else quality._grams(np.frombuffer(t, np.uint8)).tolist()
+        plain[0].update(grams)
+        if i in good:
+            plain[1].update(grams)
+    size = 1 << quality.BITS
+    raw, target = ([c[k] + 0.5 for k in range(size)] for c in plain)
+    target = [t + 2000 * x / sum(raw) for t, x in zip(target, raw, strict=True)]
+    logs = [math.log(t / sum_t) - math.log(x / sum_x) for sum_t, sum_x in [(sum(target), sum(raw))] for t, x in zip(target, raw, strict=True)]
+    for i, t in frames:
+        grams = quality._grams(np.frombuffer(t, np.uint8)).tolist()
+        want = sum(logs[g] for g in grams) / len(grams) if grams else 0.0
+        assert abs(got[i][0].llr - want) < 2e-6 and got[i][0].kept == (not got[i][0].base_failed and got[i][0].llr >= quality.THRESHOLD), i
+    other = quality.quality(all_.orderBy(F.desc("doc_id")).repartition(7), quality.fit_ratio(all_.repartition(3), labels)).collect()
+    assert sorted(map(str, other)) == sorted(str(x) for rows in got.values() for x in rows)
     assert not quality.fit_ratio(all_, labels.limit(0)).any() and quality.quality(empty, ratio).count() == 0
     assert quality.fit_ratio(empty, labels).shape == ratio.shape
 
@@ -368,6 +402,12 @@ def test_language(docs, empty):
     assert langs == ["de", "en", "fr"]
     got = language.identify(docs, langs, p).join(docs.select("doc_id", "lang", "text"), "doc_id").where("doc_id < 120").collect()
     assert np.mean([x.lang == x.lang_pred for x in got]) > 0.97 and all(0 <= x.score <= 1 for x in got)
+    q = language.fit(docs.orderBy(F.desc("doc_id")).repartition(6))
+    assert q[0] == langs and (q[1] == p).all()
+    plain = collections.defaultdict(collections.Counter)
+    for x in docs.where("lang is not null and text is not null").collect():
+        plain[x.lang].update(language._codes(x.text.encode()).tolist())
+    assert {(x.lang, x.bucket): x.n for x in language.gram_counts(docs).collect()} == {(a, g): n for a, c in plain.items() for g, n in c.items()}
     none = {x.doc_id: x for x in language.identify(docs, langs, p).collect() if x.doc_id in (302, 303, 304, 308)}
     assert {x.lang_pred for x in none.values()} == {"und"} and len(none) == 4
     assert language.identify(empty, langs, p).count() == 0 and language.fit(empty)[0] == []
