@@ -7,7 +7,6 @@ the columns of documents; the last adds what the mix takes of each document.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stratalog.llm import decontaminate, language, minhash, mixing, pii
 from stratalog.llm.common import stored
@@ -15,9 +14,8 @@ from stratalog.llm.queries import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages go."""
-    langs, p = language.fit(docs)
-    return language.identify(docs, langs, p, carry=True).where(f"lang_pred <> '{language.UNKNOWN}'").select(*docs.columns)
+    """Documents without a letter go, and those in none of the learned languages; all stay where no document has a lang."""
+    return language.known_only(docs, *language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +35,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix draws of each document, repeats included, as its text, and how many words."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mixing.mix(docs, carry=others).where("taken > 0")
-    mixed = mixed.withColumn("text", mixing.drawn_text(F.col("text"), F.col("passes"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(*docs.columns, "size", "source_size", "target", "taken")
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [
