@@ -54,11 +54,16 @@ def settle(df: DataFrame) -> DataFrame:
     """
     _shared_folder(df.sparkSession)
     cut = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return cut
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, for rows with texts."""
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
