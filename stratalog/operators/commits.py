@@ -64,21 +64,64 @@ def batches(netted: DataFrame, size: int = BATCH) -> DataFrame:
     return netted.withColumn("batch_id", (F.floor((rank - 1) / size) + 1).cast("int")).withColumn("total_batches", F.ceil(F.count(F.lit(1)).over(by) / size).cast("int"))
 
 
-def split(commits: DataFrame, size: int = BATCH) -> DataFrame:
-    """Nested commits as events (EVENT_DDL): parts of at most `size` statements, all with the commit's metadata."""
-    n = F.size("addedStatements") + F.size("removedStatements")
-    total = F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
-    parts = commits.withColumn("totalBatches", total).withColumn("batchId", F.explode(F.sequence(F.lit(1), total)))
-    first = (F.col("batchId") - 1) * size
-    a = F.size("addedStatements")
-    added = F.slice("addedStatements", F.least(first, a) + 1, F.greatest(F.lit(0), F.least(F.lit(size), a - first)))
-    skip = F.greatest(first - a, F.lit(0))
-    room = F.lit(size) - F.size("_added")
-    removed = F.slice("removedStatements", skip + 1, room)
-    cut = parts.withColumn("_added", added).withColumn("_removed", removed)
-    body = F.to_json(F.struct("commitId", "originatingBranchId", "commitMessage", "precedingCommitId", "timeStamp", F.col("_added").alias("addedStatements"), F.col("_removed").alias("removedStatements")))
-    key = F.concat_ws("/", "originatingBranchId", "commitId", F.lit(uuid.uuid5(uuid.NAMESPACE_URL, "commit").hex))
-    return cut.select("branch_id", "seq", key.alias("commitUUID"), "batchId", "totalBatches", body.alias("body"))
+def _parts(rows: DataFrame, keys: list[str], order: list[Column], limit: int, size: int) -> DataFrame:
+    """bytes, part (from 1) and oversized of each row: parts of at most `size` rows and `limit` bytes, in order.
+
+    Rows that begin in the same half of a limit share a part, unless one of them is longer than
+    half a limit, which is a part of its own.  So running sums decide, and no commit has to be
+    in memory.  A statement over the limit cannot be cut: its part is marked.
+    """
+    half = limit // 2
+    by = W.partitionBy(*keys).orderBy(*order)
+    body = F.octet_length(F.to_json(F.struct("subject", "predicate", "datatype", "object"))) + 1
+    sized = rows.withColumn("bytes", body.cast("long")).withColumn("_rank", F.row_number().over(by))
+    placed = sized.withColumn("_cell", F.floor((F.sum("bytes").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("bytes")) / half)).withColumn("_batch", F.floor((F.col("_rank") - 1) / size))
+    before = lambda c: F.lag(c).over(by)
+    new = (F.col("_rank") == 1) | (F.col("bytes") > half) | (before("bytes") > half) | (before("_cell") != F.col("_cell")) | (before("_batch") != F.col("_batch"))
+    return placed.withColumn("_new", new.cast("int")).withColumn("part", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("long")).withColumn("oversized", F.col("bytes") > limit).drop("_rank", "_cell", "_batch", "_new")
+
+
+def split_rows(rows: DataFrame, size: int = BATCH, limit: int = PAYLOAD) -> DataFrame:
+    """Events (EVENT_DDL) of operation rows as `flatten` gives them, with message: parts bounded in statements and bytes, all with the commit's metadata."""
+    keys = ["branch_id", "seq", "commit_id"]
+    parts = _parts(rows, keys, [F.col("pos")], limit, size)
+    side = lambda op: F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct(F.col("pos"), _statement().alias("s"))))), lambda x: x["s"])
+    grouped = parts.groupBy(*keys, "preceding_id", "ts", "message", "part").agg(side("ADD").alias("added"), side("REMOVE").alias("removed"))
+    total = F.max("part").over(W.partitionBy(*keys)).cast("int")
+    return _events(grouped.withColumn("_total", total))
+
+
+def _statement() -> Column:
+    return F.struct("containingsubject", "subject", "containmentpredicate", "predicate", "datatype", "object")
+
+
+def _events(grouped: DataFrame) -> DataFrame:
+    body = F.struct(
+        F.col("commit_id").alias("commitId"), F.col("branch_id").alias("originatingBranchId"), F.col("message").alias("commitMessage"), F.col("preceding_id").alias("precedingCommitId"), F.col("ts").alias("timeStamp"),
+        F.col("added").alias("addedStatements"), F.col("removed").alias("removedStatements"),
+    )
+    key = F.concat_ws("/", "branch_id", "commit_id", F.lit(uuid.uuid5(uuid.NAMESPACE_URL, "commit").hex))
+    return grouped.select("branch_id", "seq", key.alias("commitUUID"), F.col("part").cast("int").alias("batchId"), F.col("_total").alias("totalBatches"), F.to_json(body).alias("body"))
+
+
+def split(commits: DataFrame, size: int = BATCH, limit: int = PAYLOAD) -> DataFrame:
+    """Nested commits as events; a commit without statements is one event."""
+    messages = commits.select("branch_id", "seq", F.col("commitId").alias("commit_id"), F.col("commitMessage").alias("message"))
+    some = split_rows(flatten(commits).join(messages, ["branch_id", "seq", "commit_id"]), size, limit)
+    empty = commits.where((F.size("addedStatements") == 0) & (F.size("removedStatements") == 0))
+    none = F.lit(None).cast(f"array<struct<{V.STATEMENT_DDL.replace(' STRING', ':string')}>>")
+    empty = empty.select("branch_id", "seq", F.col("commitId").alias("commit_id"), F.col("precedingCommitId").alias("preceding_id"), F.col("timeStamp").alias("ts"), F.col("commitMessage").alias("message"), F.lit(1).alias("part"), F.coalesce(none, F.array()).alias("added"), F.coalesce(none, F.array()).alias("removed"), F.lit(1).alias("_total"))
+    return some.union(_events(empty))
+
+
+def rejoin_rows(events: DataFrame) -> DataFrame:
+    """Operation rows of complete events, as `flatten` gives them with message: no commit has to fit in one row."""
+    whole = events.groupBy("branch_id", "commitUUID").agg(F.count_distinct("batchId").alias("_n"), F.max("totalBatches").alias("_all")).where("_n = _all").select("branch_id", "commitUUID")
+    parsed = events.join(whole, ["branch_id", "commitUUID"], "left_semi").dropDuplicates(["branch_id", "commitUUID", "batchId"]).withColumn("c", F.from_json("body", V.COMMIT_DDL))
+    sides = [parsed.select("branch_id", "seq", "batchId", "c", F.posexplode(f"c.{name}").alias("_p", "s"), F.lit(op).alias("op")) for name, op in (("addedStatements", "ADD"), ("removedStatements", "REMOVE"))]
+    rows = sides[0].union(sides[1])
+    pos = (F.row_number().over(W.partitionBy("branch_id", "c.commitId").orderBy("op", "batchId", "_p")) - 1).cast("int")
+    return rows.withColumn("pos", pos).select("branch_id", "seq", F.col("c.commitId").alias("commit_id"), F.col("c.precedingCommitId").alias("preceding_id"), F.col("c.timeStamp").alias("ts"), F.col("c.commitMessage").alias("message"), "op", "pos", "s.*")
 
 
 def rejoin_events(events: DataFrame) -> DataFrame:
@@ -94,28 +137,9 @@ def rejoin_events(events: DataFrame) -> DataFrame:
     return grouped.where("_n = _all").drop("_n", "_all", "commitUUID")
 
 
-def payload_parts(netted: DataFrame, limit: int = PAYLOAD) -> DataFrame:
-    """part (from 1), bytes and oversized of each row of a commit, packed in order.
-
-    A part starts where the next statement would not fit.  A statement over the limit is a
-    part of its own and marked.
-    """
-    size = F.octet_length(F.to_json(F.struct("subject", "predicate", "datatype", "object"))) + 1
-    rows = netted.withColumn("bytes", size.cast("long"))
-    packed = rows.groupBy("branch_id", "commit_seq").agg(F.array_sort(F.collect_list(F.struct((-F.col("net")).alias("side"), *V.STATEMENT, "bytes"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(limit + 1).cast("long").alias("used"))
-    ordered = packed.select("branch_id", "commit_seq", F.posexplode("rows").alias("pos", "r"))
-    sums = packed.select("branch_id", "commit_seq", F.aggregate(F.transform("rows", lambda r: r["bytes"]), F.struct(start.alias("s"), F.array().cast("array<bigint>").alias("parts")), lambda a, b: _packed(a, b, limit)).alias("a"))
-    parts = sums.select("branch_id", "commit_seq", F.posexplode("a.parts").alias("pos", "part"))
-    joined = ordered.join(parts, ["branch_id", "commit_seq", "pos"])
-    return joined.select("branch_id", "commit_seq", "part", (-F.col("r.side")).alias("net"), *[f"r.{c}" for c in V.STATEMENT], "r.bytes", (F.col("r.bytes") > limit).alias("oversized"))
-
-
-def _packed(a: Column, size: Column, limit: int) -> Column:
-    fits = a["s"]["used"] + size <= limit
-    part = F.when(fits, a["s"]["part"]).otherwise(a["s"]["part"] + 1)
-    used = F.when(fits, a["s"]["used"] + size).otherwise(size)
-    return F.struct(F.struct(part.alias("part"), used.alias("used")).alias("s"), F.array_append(a["parts"], part).alias("parts"))
+def payload_parts(netted: DataFrame, limit: int = PAYLOAD, size: int = BATCH) -> DataFrame:
+    """part (from 1), bytes and oversized of each row of a commit, additions first."""
+    return _parts(netted, ["branch_id", "commit_seq"], [F.desc("net"), *map(F.col, V.STATEMENT)], limit, size)
 
 
 def suffix(commits: DataFrame, commit: str | None, inclusive: bool, id_column: str = "commitId", order: str = "seq") -> DataFrame:

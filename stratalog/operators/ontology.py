@@ -129,6 +129,36 @@ def instances(state: DataFrame, base: str) -> DataFrame:
     return types.join(below, types.object == below["sub"], "left_semi").select("subject").distinct()
 
 
+def was_instance(ops: DataFrame, state: DataFrame, base: str) -> DataFrame:
+    """subject: what a commit takes a type away from that is the class or a subclass; state has the classes."""
+    return instances(hierarchy_rows(state).union(ops.where((F.col("op") == "REMOVE") & (F.col("predicate") == V.TYPE)).select(*V.STATEMENT)), base)
+
+
+def hierarchy_rows(state: DataFrame) -> DataFrame:
+    """The statements that make classes subclasses."""
+    return state.where(F.col("predicate") == V.SUB_CLASS).select(*V.STATEMENT)
+
+
+def has_map_entry_range(state: DataFrame) -> DataFrame:
+    """property: those whose range is the class of map entries or a subclass."""
+    below = hierarchy(state).where(F.col("super") == V.MAP_ENTRY).select("sub").union(state.sparkSession.createDataFrame([(V.MAP_ENTRY,)], "sub string"))
+    return state.where(F.col("predicate") == V.RANGE).join(below, F.col("object") == F.col("sub"), "left_semi").select(F.col("subject").alias("property")).distinct()
+
+
+def checked_maps(state: DataFrame, prop: str) -> DataFrame:
+    """owner, key, value of a map property; an error unless its range is a class of map entries."""
+    from stratalog.operators.containment import read_maps
+
+    if has_map_entry_range(state).where(F.col("property") == prop).isEmpty():
+        raise TypeError(f"{prop} has no map entries for its range")
+    return read_maps(state, prop)
+
+
+def value_type(uri: Column) -> Column:
+    """A primitive-or-class type: uri and is_primitive.  Two are the same if their URIs are."""
+    return F.struct(uri.alias("uri"), (uri.startswith(V.XSD) | (uri == V.RDFS + "Literal")).alias("is_primitive"))
+
+
 def drop_properties(state: DataFrame, properties: DataFrame) -> DataFrame:
     """The graph without these properties (property) and what was made for them: list classes, entries, restrictions."""
     p = F.col("property")

@@ -7,12 +7,14 @@ a whole round adds nothing, or after `MAX_ROUNDS`.
 
 from __future__ import annotations
 
+import logging
 import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.functions import vocabulary as V
 from stratalog.functions.checkpoint import settle
 from stratalog.functions.statements import same_statement
 from stratalog.functions.vocabulary import STATEMENT
@@ -29,6 +31,9 @@ def fixpoint(ops: DataFrame, state: DataFrame, services: list[Service], rounds:
 
     ops: statement, delta, seq.  New operations follow the old ones in sequence.
     """
+    for service in services:
+        if isinstance(service, Handler):
+            service.begin()
     done = settle(ops.select(*OPS))
     graph = settle(_after(state, done))
     at, seen = 1 + (done.agg(F.max("seq")).first()[0] or 0), [-1] * len(services)
@@ -59,20 +64,47 @@ def commit_of(ops: DataFrame) -> DataFrame:
     return net(ops, group=[])
 
 
-def sign_flip(predicate: str, sign: int, limit: int = 10) -> Service:
-    """A number of this sign becomes one of the other sign, larger by 1, up to `limit` times."""
-    left = [limit]
+class Handler:
+    """What services and mergers have in common: a name, a configuration and a logger.
 
-    def run(_: DataFrame, new: DataFrame, graph: DataFrame) -> DataFrame:
+    Subclasses implement __call__.  A handler that counts anything starts anew with each commit,
+    in `begin`.
+    """
+
+    def __init__(self, name: str, config: dict | None = None):
+        self.name, self.config, self.log = name, dict(config or {}), logging.getLogger(f"{__name__}.{name}")
+
+    def begin(self) -> None:
+        """A commit's run begins."""
+
+    def describe(self, position: int) -> list[tuple[str, str, str, str]]:
+        """The handler's configuration as statements (subject, predicate, object, datatype); positions start at 1."""
+        subject = f"{V.META}handler/{self.name}"
+        rows = [(subject, V.META + "handler/position", str(position), V.XSD + "int")]
+        return rows + [(subject, f"{V.META}handler/{k}", str(v), V.XSD + "string") for k, v in sorted(self.config.items())]
+
+
+class _SignFlip(Handler):
+    def __init__(self, predicate: str, sign: int, limit: int):
+        super().__init__("sign-flip", {"predicate": predicate, "sign": sign, "limit": limit})
+        self.predicate, self.sign, self.limit, self.left = predicate, sign, limit, limit
+
+    def begin(self) -> None:
+        self.left = self.limit
+
+    def __call__(self, _: DataFrame, new: DataFrame, graph: DataFrame) -> DataFrame:
         value = F.col("object").try_cast("long")
-        held = graph.where((F.col("predicate") == predicate) & (value * sign > 0))
-        if left[0] <= 0:
+        held = graph.where((F.col("predicate") == self.predicate) & (value * self.sign > 0))
+        if self.left <= 0:
             held = held.limit(0)
-        left[0] -= 1
-        flip = (-sign * (F.abs(value) + 1)).cast("string")
+        self.left -= 1
+        flip = (-self.sign * (F.abs(value) + 1)).cast("string")
         return held.withColumn("delta", F.lit(-1)).union(held.withColumn("object", flip).withColumn("delta", F.lit(1)))
 
-    return run
+
+def sign_flip(predicate: str, sign: int, limit: int = 10) -> Service:
+    """A number of this sign becomes one of the other sign, larger by 1, up to `limit` times in a commit."""
+    return _SignFlip(predicate, sign, limit)
 
 
 def undo_all() -> Service:

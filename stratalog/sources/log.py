@@ -59,6 +59,19 @@ class CommitLog:
         events = self.events() if branch is None else self.events().where(F.col("branch_id") == branch)
         return rejoin_events(events)
 
+    def rows(self, branch: str | None = None) -> DataFrame:
+        """Operation rows of whole commits."""
+        from stratalog.operators.commits import rejoin_rows
+
+        return rejoin_rows(self.events() if branch is None else self.events().where(F.col("branch_id") == branch))
+
+    def heads(self, branch: str) -> DataFrame:
+        """commitId, commitMessage, precedingCommitId, timeStamp and seq of a branch's whole commits, without statements."""
+        kinds = "commitId STRING, commitMessage STRING, precedingCommitId STRING, timeStamp BIGINT"
+        parsed = self.events().where(F.col("branch_id") == branch).select("commitUUID", "seq", "batchId", "totalBatches", F.from_json("body", kinds).alias("c"))
+        whole = parsed.groupBy("commitUUID").agg(F.min("seq").alias("seq"), F.min_by("c", "batchId").alias("c"), F.count_distinct("batchId").alias("_n"), F.max("totalBatches").alias("_all"))
+        return whole.where("_n = _all").select("c.*", "seq")
+
     def after(self, branch: str, commit_id: str | None) -> DataFrame:
         """Commits of a branch after the one named, exclusively; all for null."""
         from stratalog.operators.commits import suffix
@@ -101,27 +114,90 @@ def latest_state(writes: DataFrame) -> DataFrame:
     return writes.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
-_TRIPLE = r'^\s*(<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(\^\^<([^>]*)>|@[A-Za-z0-9-]+)?)\s*\.\s*$'
+class Deliveries:
+    """The delivery log: which commit of which branch reached which branch, in order, and what became of it."""
+
+    SCHEMA = V.DELIVERY_DDL + ", status STRING"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, deliveries: DataFrame) -> None:
+        """deliveries: the columns of SCHEMA; a record is never split."""
+        deliveries.select("seq", "commitId", "sendingBranchId", "receivingBranchId", "status").write.mode("append").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        """All records; none if nothing was ever appended."""
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], self.SCHEMA)
+            raise
+
+    def after(self, branch: str, commit_id: str | None) -> DataFrame:
+        """Deliveries to a branch after that of the commit named, exclusively; all for null."""
+        from stratalog.operators.commits import suffix
+
+        return suffix(self.all().where(F.col("receivingBranchId") == branch), commit_id, inclusive=False)
+
+
+_LITERAL = r'"((?:[^"\\]|\\.)*)"'
+_TRIPLE = r"^\s*(<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(<([^>]*)>|_:(\S+)|" + _LITERAL + r"(\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(#.*)?$"
+#: What stands behind a backslash, and what it means.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+#: Strings of a language have this datatype and the language behind it.
+LANG_STRING = V.RDF + "langString"
+
+
+def unescape(text: Column) -> Column:
+    r"""Escapes of N-Triples, each read once from left to right; \\u and \\U give characters by number."""
+    signs = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+
+    def read(part: Column) -> Column:
+        code = F.conv(F.substring(part, 3, 8), 16, 10).cast("int")
+        # A code point as UTF-32: four bytes, highest first.
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(part.rlike(r"^\\[uU]"), wide).when(part.startswith("\\"), F.coalesce(F.try_element_at(signs, F.substring(part, 2, 1)), part)).otherwise(part)
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\")), F.concat_ws("", F.transform(parts, read))).otherwise(text)
+
+
+def escape(text: Column) -> Column:
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for sign, meant in ESCAPES.items():
+        if sign not in ("\\", "'"):
+            out = F.replace(out, F.lit(meant), F.lit("\\" + sign))
+    return out
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """Statements of an N-Triples file; lines that are none are left out."""
+    """Statements of an N-Triples file; lines that are none are left out, and a missing file has none.
+
+    The datatype of a string in a language is `LANG_STRING`, an @ and the language.
+    """
+    try:
+        text = spark.read.text(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        text = spark.createDataFrame([], "value string")
     g = lambda i: F.nullif(F.regexp_extract("value", _TRIPLE, i), F.lit(""))
-    literal = F.regexp_extract("value", _TRIPLE, 8)
-    plain = F.replace(F.replace(F.replace(literal, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
     is_literal = F.regexp_extract("value", _TRIPLE, 5).startswith('"')
-    lines = spark.read.text(path).where(F.col("value").rlike(_TRIPLE))
-    return lines.select(
+    tagged = F.concat(F.lit(LANG_STRING + "@"), g(11))
+    return text.where(F.col("value").rlike(_TRIPLE)).select(
         F.coalesce(g(2), g(3)).alias("subject"),
         g(4).alias("predicate"),
-        F.when(is_literal, plain).otherwise(F.coalesce(g(6), g(7))).alias("object"),
-        F.when(is_literal, F.coalesce(g(10), F.lit(V.XSD + "string"))).alias("datatype"),
+        F.when(is_literal, unescape(F.regexp_extract("value", _TRIPLE, 8))).otherwise(F.coalesce(g(6), g(7))).alias("object"),
+        F.when(is_literal, F.coalesce(g(10), tagged, F.lit(V.XSD + "string"))).alias("datatype"),
     )
 
 
 def write_triples(statements: DataFrame, path: str) -> None:
     node = lambda c: F.when(F.col(c).startswith("http"), F.concat(F.lit("<"), F.col(c), F.lit(">"))).otherwise(F.concat(F.lit("_:"), F.col(c)))
-    escaped = F.replace(F.replace(F.replace(F.col("object"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    literal = F.concat(F.lit('"'), escaped, F.lit('"^^<'), F.col("datatype"), F.lit(">"))
-    line = F.concat_ws(" ", node("subject"), F.concat(F.lit("<"), F.col("predicate"), F.lit(">")), F.when(F.col("datatype").isNotNull(), literal).otherwise(node("object")), F.lit("."))
+    kind = F.col("datatype")
+    suffix = F.when(kind.startswith(LANG_STRING + "@"), F.concat(F.lit("@"), F.substring_index(kind, "@", -1))).otherwise(F.concat(F.lit("^^<"), kind, F.lit(">")))
+    literal = F.concat(F.lit('"'), escape(F.col("object")), F.lit('"'), suffix)
+    line = F.concat_ws(" ", node("subject"), F.concat(F.lit("<"), F.col("predicate"), F.lit(">")), F.when(kind.isNotNull(), literal).otherwise(node("object")), F.lit("."))
     statements.select(line.alias("value")).write.mode("overwrite").text(path)

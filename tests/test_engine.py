@@ -125,6 +125,13 @@ def test_commits_split_rejoin_and_json(spark):
     assert sorted(commits.flatten(again).select(*key).collect()) == sorted(commits.flatten(nested).select(*key).collect())
     assert commits.rejoin_events(parts.where("batchId < 3")).count() == 0
     assert logs.decode(logs.encode(nested)).first().addedStatements == nested.first().addedStatements
+    keys = [*key, "pos"]
+    assert sorted(commits.rejoin_rows(parts).select(*keys).collect()) == sorted(commits.flatten(nested).select(*keys).collect())
+    assert commits.rejoin_rows(parts.where("batchId < 3")).count() == 0 and commits.rejoin_rows(parts.union(parts)).count() == 12
+    tight = commits.split(nested, 1000, 400)
+    assert tight.count() > 3 and commits.rejoin_rows(tight).count() == 12
+    nothing = commits.split(nested.withColumn("addedStatements", F.slice("addedStatements", 1, 0)).withColumn("removedStatements", F.slice("removedStatements", 1, 0)))
+    assert nothing.count() == 1 and commits.rejoin_events(nothing).count() == 1
     sizes = commits.payload_parts(net, 300).groupBy("part").agg(F.sum("bytes").alias("b"), F.max("oversized").alias("o")).collect()
     assert all(r.b <= 300 for r in sizes) and not any(r.o for r in sizes)
     assert commits.payload_parts(net, 5).where("oversized").count() == 12
@@ -148,11 +155,144 @@ def test_log_files(spark, tmp_path):
 
 def test_triples_round_trip(spark, tmp_path):
     rows = [("http://a", "http://p", "http://b", None), ("n1", "http://p", 'say "hi"\nback\\slash', V.XSD + "string"), ("http://a", "http://q", "1", V.XSD + "int")]
+    rows += [("http://a", "http://w", "C:\\new\\table", V.XSD + "string"), ("http://a", "http://w", "tab\there\r\n", V.XSD + "string"), ("http://a", "http://w", "Zürich 𝕏", logs.LANG_STRING + "@de"), ("http://a", "http://w", "", V.XSD + "string")]
     df = spark.createDataFrame(rows, "subject string, predicate string, object string, datatype string")
     logs.write_triples(df, str(tmp_path / "t"))
     assert {tuple(r) for r in logs.read_triples(spark, str(tmp_path / "t")).collect()} == set(rows)
 
 
+def test_triples_of_other_writers(spark, tmp_path):
+    path = tmp_path / "x.nt"
+    path.write_text('<http://a> <http://p> "caf\\u00E9 \\U0001D54F \\\\u0041 \\\'"@fr-CA . # remark\nno triple\n# remark\n<http://a> <http://p> "plain" .\n')
+    got = {tuple(r) for r in logs.read_triples(spark, str(path)).collect()}
+    assert got == {("http://a", "http://p", "café 𝕏 \\u0041 '", logs.LANG_STRING + "@fr-CA"), ("http://a", "http://p", "plain", V.XSD + "string")}
+    assert logs.read_triples(spark, str(tmp_path / "missing")).count() == 0
+
+
+def label(branch, value, message=""):
+    branch.add("http://a", V.RDFS + "label", value, V.XSD + "string")
+    return branch.commit(message)
+
+
+def test_mergers_work_one_after_the_other(spark):
+    one, two = Branch(spark, "http://r::one"), Branch(spark, "http://r::two")
+    one.destinations.append(two)
+    found = []
+
+    def shout(state, commit):
+        found.append(state.count())
+        return commit.changes.withColumn("object", F.upper("object"))
+
+    empty = lambda state, commit: commit.changes.limit(0)
+    for m in (shout, complete_merger, empty):
+        two.append(two.mergers, m)
+    two.append(two.mergers, shout)  # moves to the end
+    label(one, "x")
+    assert two.merge()[0].count() == (2, 0) and {r.object for r in two.state.collect()} == {"x", "X"} and found == [1]
+    assert two.detach(two.mergers, shout) and not two.detach(two.mergers, shout) and len(two.mergers) == 2
+
+
+def test_branches_go_on_after_a_restart(spark, tmp_path):
+    path = str(tmp_path / "repo")
+    repo = Repository(spark, "http://r", path=path)
+    base = spark.createDataFrame([("http://b", "p", "1", None)], "subject string, predicate string, object string, datatype string")
+    one, two = repo.get_or_create("one", state=base), repo.get_or_create("two")
+    two.mergers.append(complete_merger)
+    one.destinations.append(two)
+    first = label(one, "1", "first")
+    assert repo.exists("one") and not repo.exists("three") and [m.id for m in two.merge()] == [first.id]
+
+    def broken(*_):
+        raise OSError("crash")
+
+    # A service fails: the commit was written ahead.
+    one.services.append(broken)
+    with pytest.raises(OSError):
+        label(one, "2", "second")
+    again = Repository(spark, "http://r", path=path)
+    one = again.get_or_create("one")
+    assert [c.message for c in one.commits] == ["first"] and one.state.count() == 2 and one.commits[0].count() == (1, 0)
+    assert one.recover() == {"preliminary": 1, "unmerged": 0, "unforwarded": 0}
+    assert [c.message for c in one.commits] == ["first", "second"] and one.state.count() == 3
+    assert one.recover()["preliminary"] == 0
+    # It was not forwarded; once it is, the merge is interrupted.
+    two = again.get_or_create("two")
+    two.mergers.append(broken)
+    one.destinations.append(two)
+    assert one.recover()["unforwarded"] == 1
+    with pytest.raises(OSError):
+        two.merge()
+    last = Repository(spark, "http://r", path=path)
+    one, two = last.get_or_create("one"), last.get_or_create("two")
+    two.mergers.append(complete_merger)
+    one.destinations.append(two)
+    assert two.recover() == {"preliminary": 0, "unmerged": 1, "unforwarded": 0} and one.recover() == {"preliminary": 0, "unmerged": 0, "unforwarded": 0}
+    assert [c.message for c in two.commits] == ["first", "second"] and two.state.count() == 2
+    records = last.store.deliveries
+    assert [(r.seq, r.sendingBranchId, r.status) for r in records.after("two", None).orderBy("seq").collect()] == [(0, "one", "ACCEPTED"), (1, "one", "ACCEPTED")]
+    assert records.after("two", first.id).count() == 1 and records.after("two", one.commits[-1].id).count() == 0
+    assert last.get_or_create("one").commits == one.commits and one.after(first.id) == one.commits[1:]
+
+
+def test_known_properties_follow_commits(spark):
+    branch = Branch(spark, "http://r::s")
+    branch.add("p", V.TYPE, V.DATA_PROPERTY)
+    branch.commit()
+    assert branch.cache_properties() == {"p"}
+    branch.add("q", V.TYPE, V.OBJECT_PROPERTY)
+    branch.add("q", V.TYPE, V.PROPERTY)
+    branch.remove("p", V.TYPE, V.DATA_PROPERTY)
+    branch.commit()
+    assert branch.properties == {"q"}
+    branch.remove("q", V.TYPE, V.PROPERTY)
+    branch.commit()
+    assert branch.properties == {"q"}
+
+
+def test_limits_of_services_start_anew_with_each_commit(spark):
+    name = V.RDFS + "label"
+    branch = Branch(spark, "http://r::s")
+    branch.services = [services.sign_flip(name, 1, 1), services.sign_flip(name, -1, 1)]
+    for subject in ("a", "b"):
+        branch.add(subject, name, "1", V.XSD + "int")
+        branch.commit()
+        branch.remove(subject, name, "3", V.XSD + "int")
+        branch.services, kept = [], branch.services
+        branch.commit()
+        branch.services = kept
+        assert branch.state.isEmpty()
+    assert branch.services[0].describe(1)[0][2] == "1" and len(branch.services[0].describe(1)) == 4
+
+
+def test_maps_and_lists_made_and_told_apart(spark):
+    schema = "subject string, predicate string, object string, datatype string"
+    props = spark.createDataFrame([("p#m", "MAP", "D", V.XSD + "string", True), ("p#l", "LIST", "D", V.XSD + "string", True)], "property string, kind string, domain string, range string, literal boolean")
+    model = ontology.meta_model(spark).union(ontology.define(props))
+    assert {r.property for r in ontology.has_map_entry_range(model).collect()} == {"p#m", V.MAP_REF}
+    owned = spark.createDataFrame([("o", {"k": "v"})], "owner string, entries map<string,string>")
+    state = model.union(containment.map_statements(owned, "owner", "entries", "p#m"))
+    assert [tuple(r) for r in ontology.checked_maps(state, "p#m").collect()] == [("o", "k", "v")]
+    with pytest.raises(TypeError):
+        ontology.checked_maps(state, "p#l")
+    puts = spark.createDataFrame([("o", "k", "w"), ("o", "new", "1")], "owner string, key string, value string")
+    assert {(r.op, r["count"]) for r in containment.put_change(state, puts, "p#m").groupBy("op").count().collect()} == {("ADD", 6), ("REMOVE", 1)}
+    assert containment.put_change(state, puts.where("key = 'k'").withColumn("value", F.lit("v")), "p#m").isEmpty()
+    ask = spark.createDataFrame([("o", "http://x/y#labels", "p#l_list"), ("o", "p#m", "p#l_list")], "owner string, property string, range string")
+    made = containment.get_or_create_lists(ask, state)
+    assert made.count() == 4 and {r.subject for r in made.collect()} == {"o", "o#labels"} and containment.get_or_create_lists(ask, state.union(made)).isEmpty()
+    lists = spark.createDataFrame([("o#labels",)], "list string")
+    assert containment.delete_lists(state.union(made), lists).subtract(state).count() == 1
+    ops = spark.createDataFrame([("e", V.TYPE, "p#mEntryType", None, "REMOVE"), ("x", V.TYPE, "p#l_list", None, "REMOVE"), ("y", V.TYPE, "D", None, "REMOVE"), ("z", V.TYPE, "p#l_list", None, "ADD")], schema + ", op string")
+    assert [r.subject for r in ontology.was_instance(ops, model, V.MAP_ENTRY).collect()] == ["e"] and [r.subject for r in ontology.was_instance(ops, model, V.LIST_CLASS).collect()] == ["x"]
+    mixed = spark.createDataFrame([("e", V.TYPE, V.MAP_ENTRY, None), ("e", V.TYPE, V.LIST_CLASS, None), ("e", V.MAP_OWNER, "o", None), ("e", V.LIST_OWNER, "q", None), ("o", "m", "e", None), ("q", "l", "e", None), ("u", V.LIST_OWNER, "q", None), ("q", "l", "u", None)], schema)
+    about = spark.createDataFrame([("e", "v", "1", None, "ADD"), ("u", "v", "1", None, "ADD")], schema + ", op string")
+    assert {(r.subject, r.containingsubject) for r in containment.attribute_typed(about, mixed, model).collect()} == {("e", "o"), ("u", None)}
+    steps = spark.createDataFrame([("b", "p", "1", None, "REMOVE", 0, 1), ("a", "p", "1", None, "ADD", 1, 1), ("b", "p", "2", None, "ADD", 2, 1)], schema + ", op string, seq long, g int")
+    assert [(r.subject, r.rank, r.pos, r.op) for r in containment.per_instance(steps, ["g"]).orderBy("rank", "pos").collect()] == [("b", 1, 1, "ADD"), ("b", 1, 2, "REMOVE"), ("a", 2, 1, "ADD")]
+    kinds = spark.createDataFrame([(V.XSD + "int",), ("http://c",)], "u string").select(ontology.value_type(F.col("u")).alias("t")).collect()
+    assert [(r.t.uri, r.t.is_primitive) for r in kinds] == [(V.XSD + "int", True), ("http://c", False)]
+
+
 def test_propagation_ends_in_a_ring(spark):
     log = spark.createDataFrame([(0, 0, "c-0-0"), (1, 0, "c-1-0")], "branch_id int, commit_seq int, commit_id string")
     routes = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src int, dst int")
