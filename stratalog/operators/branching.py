@@ -78,6 +78,12 @@ def pending_merge(deliveries: DataFrame, merged: DataFrame) -> DataFrame:
     return deliveries.join(merged, ["dst", "commit_id"], "left_anti")
 
 
+def existing(asked: DataFrame, commits: DataFrame) -> DataFrame:
+    """branch_id, there: whether each branch asked for has commits."""
+    there = commits.select("branch_id").distinct().withColumn("_there", F.lit(True))
+    return asked.join(there, "branch_id", "left").select("branch_id", F.coalesce("_there", F.lit(False)).alias("there"))
+
+
 def pending_preliminary(preliminary: DataFrame, commits: DataFrame) -> DataFrame:
     """Commits written ahead that the log does not have."""
     return preliminary.join(commits.select("commit_id"), "commit_id", "left_anti")

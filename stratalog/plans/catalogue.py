@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from stratalog.functions import collections as C
 from stratalog.functions import statements as ST
 from stratalog.functions import vocabulary as V
+from stratalog.functions.checkpoint import settle
 from stratalog.operators import branching, commits, containment, history, netting, ontology, replay, services, snapshot
+from stratalog.operators.branch import Repository, complete_merger
 from stratalog.sources import log as logs
 from stratalog.sources.oplog import WEEK_MS, read_operations
 from stratalog.streaming import jobs
@@ -165,7 +169,15 @@ def commit_split_batches(spark, sf_dir):
     return split.groupBy("branch_id", "commit_seq", "batch_id", "total_batches").agg(F.count_if(F.col("net") > 0).alias("n_add"), F.count_if(F.col("net") < 0).alias("n_remove"))
 
 
-@query()
+_WINDOW = "PARTITION BY branch_id, commit_seq ORDER BY net DESC, subject, predicate, object"
+
+
+@query(
+    f"""WITH {_NET}, b AS (SELECT *, octet_length(encode(to_json(struct_pack(subject := subject, predicate := predicate, datatype := 'http://www.w3.org/2001/XMLSchema#int', object := object))::varchar)) + 1 AS bytes, row_number() OVER ({_WINDOW}) AS rn FROM net),
+    c AS (SELECT *, (sum(bytes) OVER ({_WINDOW}) - bytes) // 2000 AS cell FROM b),
+    d AS (SELECT *, CASE WHEN rn = 1 OR bytes > 2000 OR lag(bytes) OVER ({_WINDOW}) > 2000 OR lag(cell) OVER ({_WINDOW}) <> cell OR (rn - 1) % 8000 = 0 THEN 1 ELSE 0 END AS fresh FROM c)
+    SELECT branch_id, commit_seq, (sum(fresh) OVER ({_WINDOW}))::bigint AS part, subject, predicate, object, bytes::bigint AS bytes, bytes > 4000 AS oversized FROM d"""
+)
 def commit_split_payload(spark, sf_dir):
     return commits.payload_parts(_net(spark, sf_dir), 4_000).select("branch_id", "commit_seq", "part", *_SPO, "bytes", "oversized")
 
@@ -376,6 +388,60 @@ def pending_preliminary(spark, sf_dir):
     return branching.pending_preliminary(log.select("commit_id").union(ahead), log)
 
 
+@query(f"WITH {_NET} SELECT b::int AS branch_id, b IN (SELECT branch_id FROM log) AS there FROM range(0, 6) t(b)")
+def branch_exists(spark, sf_dir):
+    asked = spark.range(6).select(F.col("id").cast("int").alias("branch_id"))
+    return branching.existing(asked, commits.log(_net(spark, sf_dir)))
+
+
+def _folder(spark) -> str:
+    """A new folder where the session's checkpoints are."""
+    settle(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_ROUTED} SELECT commit_seq::bigint AS seq, commit_id AS \"commitId\", branch_id::varchar AS \"sendingBranchId\", '1' AS \"receivingBranchId\", 'ACCEPTED' AS status FROM log JOIN routes ON branch_id=src WHERE dst=1 AND commit_seq>(SELECT commit_seq FROM log WHERE commit_id='c-0-1')")
+def delivery_log_after(spark, sf_dir):
+    """What a branch was sent after a commit, read back from the delivery log on disk."""
+    deliveries = logs.Deliveries(spark, _folder(spark))
+    sent = branching.fan_out(commits.log(_net(spark, sf_dir)), _routes(spark))
+    deliveries.append(sent.select(F.col("commit_seq").cast("long").alias("seq"), F.col("commit_id").alias("commitId"), F.col("branch_id").cast("string").alias("sendingBranchId"), F.col("dst").cast("string").alias("receivingBranchId"), F.lit("ACCEPTED").alias("status")))
+    return deliveries.after("1", "c-0-1")
+
+
+@query(_FLAT.replace(", pos", "").replace("(row_number() OVER (PARTITION BY branch_id, commit_seq ORDER BY net DESC, first_seq)-1)::int AS pos, ", ""))
+def commit_log_on_disk(spark, sf_dir):
+    """All commits, split in parts, appended to a log on disk and joined again row by row."""
+    log = logs.CommitLog(spark, _folder(spark))
+    log.append(commits.split(commits.nest(_net(spark, sf_dir)), 50, 20_000))
+    return log.rows().select("branch_id", "commit_id", "preceding_id", "ts", "op", *_SPO)
+
+
+@query("SELECT 'http://ex/r/'||r_name AS subject, 'label' AS predicate, lower(r_name) AS object FROM region UNION ALL SELECT 'http://ex/r/'||r_name, 'label', r_name FROM region")
+def branch_recovery(spark, sf_dir):
+    """A branch whose service fails after the commit was written ahead, and its destination's graph once both were loaded again."""
+    path, regions = _folder(spark), [r.r_name for r in _table(spark, sf_dir, "region").collect()]
+
+    def broken(*_):
+        raise RuntimeError("the service fails")
+
+    def lower(_, new, graph):
+        return new.where("delta > 0").withColumn("object", F.lower("object"))
+
+    first = Repository(spark, "http://ex/repo", path=path).get_or_create("one")
+    first.services = [broken]
+    for name in regions:
+        first.add(f"http://ex/r/{name}", "label", name, V.XSD + "string")
+    with contextlib.suppress(RuntimeError):
+        first.commit("regions")
+    again = Repository(spark, "http://ex/repo", path=path)
+    one, two = again.get_or_create("one"), again.get_or_create("two")
+    one.services, two.mergers, one.destinations = [lower], [complete_merger], [two]
+    one.recover()
+    two.merge()
+    return two.state.select(*_SPO)
+
+
 # Collections
 
 
@@ -434,6 +500,59 @@ def list_insert_delta(spark, sf_dir):
     return containment.list_change(parts, "l_orderkey", "items", "more").groupBy("owner", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_LISTS} " + _EXPLODED.format(x="([0::bigint] || items[2:])"))
+def list_set(spark, sf_dir):
+    return _exploded(_parts(spark, sf_dir).withColumn("items", C.list_set(F.col("items"), 0, F.lit(0).cast("long"))))
+
+
+@query(f"WITH {_LISTS} " + _EXPLODED.format(x="(items || [7::bigint])"))
+def list_add(spark, sf_dir):
+    return _exploded(_parts(spark, sf_dir).withColumn("items", C.list_add(F.col("items"), F.lit(7).cast("long"))))
+
+
+@query(f"WITH {_LISTS} " + _EXPLODED.format(x="(items[:1] || [0::bigint, 1::bigint] || items[2:])"))
+def list_insert_all(spark, sf_dir):
+    two = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    return _exploded(_parts(spark, sf_dir).withColumn("items", C.list_insert_all(F.col("items"), 1, two)))
+
+
+@query(f"WITH {_LISTS} " + _EXPLODED.format(x="(list_filter(items[2:], lambda x, i: i <> coalesce(list_position(items[2:], items[len(items)]), 0)))"))
+def list_remove_all(spark, sf_dir):
+    x = F.col("items")
+    return _exploded(_parts(spark, sf_dir).withColumn("items", C.list_remove_all(x, F.array(F.element_at(x, 1), F.element_at(x, -1)))))
+
+
+@query(f"WITH {_LISTS} " + _EXPLODED.format(x="(list_filter(items, lambda x: x % 2 = 0))"))
+def list_retain_all(spark, sf_dir):
+    """Each element beyond the even ones takes away one of its kind, so all of them go."""
+    x = F.col("items")
+    return _exploded(_parts(spark, sf_dir).withColumn("items", C.list_retain_all(x, F.filter(x, lambda v: v % 2 == 0))))
+
+
+def _nation_lists(spark, sf_dir):
+    """Owners whose property asks for a list; every other nation has it already."""
+    n = _table(spark, sf_dir, "nation")
+    owner, prop, null = F.concat(F.lit("http://ex/n/"), F.col("n_name")), "http://ex/p#tags", F.lit(None).cast("string")
+    ask = n.select(owner.alias("owner"), F.lit(prop).alias("property"), F.lit(prop + "_list").alias("range"))
+    state = n.where("n_nationkey % 2 = 0").select(owner.alias("subject"), F.lit(prop).alias("predicate"), F.concat(owner, F.lit("#tags")).alias("object"), null.alias("datatype"))
+    return ask, state
+
+
+_MADE = f"odd AS (SELECT 'http://ex/n/'||n_name AS owner FROM nation WHERE n_nationkey%2=1), made AS (SELECT owner||'#tags' AS subject, '{V.TYPE}' AS predicate, '{V.LIST_CLASS}' AS object FROM odd UNION ALL SELECT owner||'#tags', '{V.TYPE}', 'http://ex/p#tags_list' FROM odd UNION ALL SELECT owner||'#tags', '{V.LIST_OWNER}', owner FROM odd UNION ALL SELECT owner, 'http://ex/p#tags', owner||'#tags' FROM odd)"
+
+
+@query(f"WITH {_MADE} SELECT * FROM made")
+def list_get_or_create(spark, sf_dir):
+    return containment.get_or_create_lists(*_nation_lists(spark, sf_dir)).select(*_SPO)
+
+
+@query(f"WITH {_MADE} SELECT * FROM made WHERE NOT starts_with(subject, 'http://ex/n/NATION_1') OR predicate='http://ex/p#tags'")
+def list_delete(spark, sf_dir):
+    made = containment.get_or_create_lists(*_nation_lists(spark, sf_dir))
+    doomed = made.where(F.col("subject").startswith("http://ex/n/NATION_1") & F.col("subject").endswith("#tags")).select(F.col("subject").alias("list")).distinct()
+    return containment.delete_lists(made, doomed).select(*_SPO)
+
+
 @query("SELECT DISTINCT user_id, event_type AS item FROM events")
 def set_assemble(spark, sf_dir):
     return containment.sets(_table(spark, sf_dir, "events"), ["user_id"], "event_type").select("user_id", F.explode("items").alias("item"))
@@ -473,8 +592,12 @@ def map_put(spark, sf_dir):
 
 @query(f"WITH {_MAPS} SELECT user_id AS owner, CASE WHEN bool_or(key='click') THEN 1 ELSE 5 END::int AS n_add, CASE WHEN bool_or(key='click') THEN 1 ELSE 0 END::int AS n_remove FROM maps GROUP BY 1")
 def map_put_delta(spark, sf_dir):
-    has = F.map_contains_key("entries", F.lit("click"))
-    return _user_maps(spark, sf_dir).select(F.col("user_id").alias("owner"), F.when(has, 1).otherwise(5).alias("n_add"), F.when(has, 1).otherwise(0).alias("n_remove"))
+    owned = _user_maps(spark, sf_dir).withColumn("owner", F.col("user_id").cast("string"))
+    state = containment.map_statements(owned, "owner", "entries", "http://ex/p#props")
+    puts = owned.select("owner", F.lit("click").alias("key"), F.lit("-1").alias("value"))
+    ops = containment.put_change(state, puts, "http://ex/p#props")
+    owner = F.split_part("subject", F.lit("/"), F.lit(1)).cast("long").alias("owner")
+    return ops.groupBy(owner).agg(F.count_if(F.col("op") == "ADD").cast("int").alias("n_add"), F.count_if(F.col("op") == "REMOVE").cast("int").alias("n_remove"))
 
 
 @query(f"WITH {_MAPS} SELECT 'u'||user_id AS owner, key, value FROM maps")
@@ -533,16 +656,48 @@ def containment_deleted(spark, sf_dir):
     return gone.groupBy("subject", "containingsubject", "containmentpredicate").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _typed_elements(spark, sf_dir):
+    """Turns as lists, map entries and things without a type, all of which refer to their conversation; and a value for each."""
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    conv, element = F.concat(F.lit("http://ex/conv/"), F.col("conv_id").cast("string")), F.concat(F.lit("http://ex/turn/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    null, kind = F.lit(None).cast("string"), F.col("turn") % 3
+    row = lambda s, p, o: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"), null.alias("datatype"))
+    typed = F.when(kind == 0, row(element, V.TYPE, F.lit(V.LIST_CLASS))).when(kind == 1, row(element, V.TYPE, F.lit(V.MAP_ENTRY)))
+    rows = F.array_compact(F.array(typed, row(element, V.LIST_OWNER, conv), F.when(kind == 1, row(element, V.MAP_OWNER, conv)), row(conv, "http://ex/p#parts", element)))
+    state = t.select(F.explode(rows).alias("s")).select("s.*")
+    return t.select(element.alias("subject"), F.lit(V.RDF + "_1").alias("predicate"), F.lit("x").alias("object"), F.lit(V.XSD + "string").alias("datatype"), F.lit("ADD").alias("op")), state
+
+
+@query("SELECT DISTINCT 'http://ex/turn/'||conv_id||'/'||turn AS subject, CASE WHEN turn%3<2 THEN 'http://ex/conv/'||conv_id END AS containingsubject, CASE WHEN turn%3<2 THEN 'http://ex/p#parts' END AS containmentpredicate FROM conversations")
+def containment_typed(spark, sf_dir):
+    ops, state = _typed_elements(spark, sf_dir)
+    return containment.attribute_typed(ops, state, ontology.meta_model(spark)).select("subject", "containingsubject", "containmentpredicate")
+
+
+@query(f"WITH {_TURNS} SELECT seq AS subject FROM named WHERE role='assistant'")
+def was_list(spark, sf_dir):
+    return ontology.was_instance(_turns(spark, sf_dir)[1], ontology.meta_model(spark), V.LIST_CLASS)
+
+
+@query(
+    f"WITH {_NET}, o AS (SELECT *, CASE WHEN net>0 THEN 'ADD' ELSE 'REMOVE' END AS op, min(first_seq) OVER (PARTITION BY branch_id, commit_seq, subject) AS first_touch FROM net) "
+    "SELECT branch_id, commit_seq, subject, predicate, object, op, first_touch, dense_rank() OVER (PARTITION BY branch_id, commit_seq ORDER BY first_touch, subject)::int AS rank, row_number() OVER (PARTITION BY branch_id, commit_seq, subject ORDER BY op, first_seq)::int AS pos FROM o"
+)
+def operations_per_instance(spark, sf_dir):
+    ops = netting.with_op(_net(spark, sf_dir)).withColumnRenamed("first_seq", "seq")
+    return containment.per_instance(ops, ["branch_id", "commit_seq"]).select("branch_id", "commit_seq", *_SPO, "op", "first_touch", "rank", "pos")
+
+
 def _definitions(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     kind = F.element_at(F.array(*map(F.lit, (V.PROPERTY, V.OBJECT_PROPERTY, V.DATA_PROPERTY, V.CLASS))), F.col("p_size") % 4 + 1)
     op = F.when(F.col("p_partkey") % 2 == 0, "ADD").otherwise("REMOVE")
-    name = F.concat(F.lit("http://ex/p#"), F.col("p_name"))
+    name = F.concat(F.lit("http://ex/p#"), F.col("p_partkey").cast("string"))
     ops = p.select(name.alias("subject"), F.lit(V.TYPE).alias("predicate"), kind.alias("object"), op.alias("op"))
     return ops, p.where("p_partkey % 3 = 0").select(name.alias("property")).distinct()
 
 
-_DEFS = "defs AS (SELECT DISTINCT 'http://ex/p#'||p_name AS property, p_partkey%2=0 AS added FROM part WHERE p_size%4<3), known AS (SELECT DISTINCT 'http://ex/p#'||p_name AS property FROM part WHERE p_partkey%3=0)"
+_DEFS = "defs AS (SELECT DISTINCT 'http://ex/p#'||p_partkey AS property, p_partkey%2=0 AS added FROM part WHERE p_size%4<3), known AS (SELECT DISTINCT 'http://ex/p#'||p_partkey AS property FROM part WHERE p_partkey%3=0)"
 
 
 @query(f"WITH {_DEFS} SELECT DISTINCT property FROM defs d ANTI JOIN known USING (property) WHERE added")
@@ -561,9 +716,15 @@ def _schema(spark, sf_dir):
     name = lambda c: F.concat(F.lit("http://ex/s#"), F.col(c))
     joined = n.join(r, n.n_regionkey == r.r_regionkey)
     cls = joined.select(F.concat(name("n_name"), F.lit("Class")).alias("class"), name("r_name").alias("super")).union(r.select(name("r_name"), F.lit(None).cast("string")))
+    return ontology.classes(cls).union(_properties(spark, sf_dir)).union(ontology.meta_model(spark)), cls
+
+
+def _properties(spark, sf_dir):
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    name = lambda c: F.concat(F.lit("http://ex/s#"), F.col(c))
     kind = F.element_at(F.array(*map(F.lit, ("SINGLE", "LIST", "MAP", "SET"))), F.col("n_nationkey") % 4 + 1)
-    props = joined.select(name("n_name").alias("property"), kind.alias("kind"), name("r_name").alias("domain"), F.lit(V.XSD + "string").alias("range"), F.lit(True).alias("literal"))
-    return ontology.classes(cls).union(ontology.define(props)).union(ontology.meta_model(spark)), cls
+    props = n.join(r, n.n_regionkey == r.r_regionkey).select(name("n_name").alias("property"), kind.alias("kind"), name("r_name").alias("domain"), F.lit(V.XSD + "string").alias("range"), F.lit(True).alias("literal"))
+    return ontology.define(props)
 
 
 @query("SELECT 'http://ex/s#'||n_name AS property, ['SINGLE','LIST','MAP','SET'][n_nationkey%4+1] AS kind, 'http://ex/s#'||r_name AS domain FROM nation JOIN region ON n_regionkey=r_regionkey")
@@ -573,6 +734,54 @@ def schema_kinds(spark, sf_dir):
     return mine.join(ontology.members(state), "property", "left_anti").where(~ST.is_entry_property(F.col("property"))).select("property", "kind", "domain")
 
 
+def _made_for(kind: int, rows: list[tuple[str, str, str, str]]) -> str:
+    """SQL of the statements of one kind of property: p is the property, d its domain; the range is a string."""
+    cells = ", ".join(f"struct_pack(subject := {s}, predicate := '{p}', object := {o}, datatype := {t})" for s, p, o, t in rows)
+    return f"SELECT unnest([{cells}], recursive := true) FROM (SELECT 'http://ex/s#'||n_name AS p, 'http://ex/s#'||r_name AS d FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey%4={kind})"
+
+
+def _schema_sql() -> str:
+    null, string = "NULL::varchar", f"'{V.XSD}string'"
+    q = lambda x: f"'{x}'"
+    one = "'anon::'||p||'::maxOneCardinality'"
+    plain = [("p", V.TYPE, q(V.DATA_PROPERTY), null), ("p", V.DOMAIN, "d", null), ("p", V.RANGE, string, null)]
+    most = lambda target, on: [(one, V.TYPE, q(V.OWL + "Restriction"), null), (one, V.OWL + "onProperty", "p", null), (one, V.OWL + "maxQualifiedCardinality", "'1'", q(V.XSD + "nonNegativeInteger")), (one, V.OWL + on, target, null), ("d", V.SUB_CLASS, one, null)]
+    single = [*plain, *most(string, "onDataRange"), ("p", V.SUB_PROPERTY, q(V.SINGLE_LITERAL), null)]
+    seq, li, only = "p||'_list'", "p||'_liLiteral'", "'anon::'||p||'_liLiteral::valueRestriction'"
+    listed = [(seq, V.TYPE, q(V.CLASS), null), (seq, V.SUB_CLASS, q(V.LIST_CLASS), null), ("p", V.TYPE, q(V.OBJECT_PROPERTY), null), ("p", V.DOMAIN, "d", null), ("p", V.RANGE, seq, null), *most(seq, "onClass"), ("p", V.SUB_PROPERTY, q(V.LIST_REF), null)]
+    listed += [(li, V.TYPE, q(V.DATA_PROPERTY), null), (li, V.SUB_PROPERTY, q(V.MEMBER), null), (li, V.DOMAIN, seq, null), (li, V.RANGE, string, null), (only, V.TYPE, q(V.OWL + "Restriction"), null), (only, V.OWL + "onProperty", li, null), (only, V.OWL + "allValuesFrom", string, null), (seq, V.SUB_CLASS, only, null)]
+    entry, value = "p||'EntryType'", "p||'/literalValue'"
+    mapped = [(entry, V.TYPE, q(V.CLASS), null), (entry, V.SUB_CLASS, q(V.MAP_ENTRY), null), ("p", V.TYPE, q(V.OBJECT_PROPERTY), null), ("p", V.DOMAIN, "d", null), ("p", V.RANGE, entry, null), ("p", V.SUB_PROPERTY, q(V.MAP_REF), null), (value, V.TYPE, q(V.DATA_PROPERTY), null), (value, V.DOMAIN, entry, null), (value, V.RANGE, string, null), (value, V.SUB_PROPERTY, q(V.MAP_LITERAL), null)]
+    parts = " UNION ALL ".join(_made_for(k, rows) for k, rows in enumerate((single, listed, mapped, plain)))
+    return f"SELECT DISTINCT * FROM ({parts})"
+
+
+@query(_schema_sql())
+def schema_triples(spark, sf_dir):
+    return _properties(spark, sf_dir).select(*V.STATEMENT)
+
+
+@query(f"SELECT 'http://ex/s#'||n_name AS property FROM nation WHERE n_nationkey%4=2 UNION ALL SELECT '{V.MAP_REF}'")
+def schema_map_ranges(spark, sf_dir):
+    return ontology.has_map_entry_range(_schema(spark, sf_dir)[0])
+
+
+@query(f"WITH t AS (SELECT s_suppkey, CASE s_suppkey%3 WHEN 0 THEN '{V.XSD}int' WHEN 1 THEN '{V.RDFS}Literal' ELSE 'http://ex/s#C'||s_nationkey END AS uri FROM supplier) SELECT s_suppkey, uri, s_suppkey%3<2 AS is_primitive FROM t")
+def value_types(spark, sf_dir):
+    uri = F.when(F.col("s_suppkey") % 3 == 0, V.XSD + "int").when(F.col("s_suppkey") % 3 == 1, V.RDFS + "Literal").otherwise(F.concat(F.lit("http://ex/s#C"), F.col("s_nationkey").cast("string")))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", ontology.value_type(uri).alias("t")).select("s_suppkey", "t.uri", "t.is_primitive")
+
+
+@query("SELECT 'http://ex/supplier/'||s_suppkey AS object FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name<>'ASIA'")
+def type_rejects_objects(spark, sf_dir):
+    """Suppliers are instances of their nation's class; those of no subclass of ASIA are rejected."""
+    state, _ = _schema(spark, sf_dir)
+    s, n = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("http://ex/supplier/"), F.col("s_suppkey").cast("string"))
+    types = s.join(n, s.s_nationkey == n.n_nationkey).select(name.alias("subject"), F.lit(V.TYPE).alias("predicate"), F.concat(F.lit("http://ex/s#"), F.col("n_name"), F.lit("Class")).alias("object"), F.lit(None).cast("string").alias("datatype"))
+    return ontology.assignable_objects(s.select(name.alias("object")), state.select(*V.STATEMENT).union(types), "http://ex/s#ASIA")[1]
+
+
 @query("SELECT 'http://ex/s#'||n_name AS property FROM nation JOIN region ON n_regionkey=r_regionkey WHERE r_name='ASIA'")
 def schema_declared(spark, sf_dir):
     return ontology.declared(_schema(spark, sf_dir)[0], "http://ex/s#ASIA")
