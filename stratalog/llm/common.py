@@ -64,6 +64,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a small table that one task takes on.
+TASK_ROWS = 100_000
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A settled table in as many partitions as its rows need at most; what fits one task needs no shuffle."""
+    return df.coalesce(tasks_for(df.count()))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, for rows with texts."""
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"

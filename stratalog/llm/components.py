@@ -5,45 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import settle
+from stratalog.llm.common import narrow, settle, tasks_for
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node's larger neighbours are linked to its smallest neighbour, or to itself."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them.  Edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b).
 
     Each round is cut from its lineage; the number of rounds grows with the logarithm of
-    the size.  Nulls, loops and repeated edges are ignored.
+    the size.  Few edges are worked on in few tasks.  Nulls, loops and repeated edges are ignored.
     """
     known = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     known, state = settle(known), None
     while True:
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        tasks = tasks_for(2 * now[0])
+        known = known.coalesce(tasks)
         if now == state or not now[0]:
             break
         state = now
-        known = settle(_small(_large(known)))
-    return known.select(F.col("a").alias("node"), F.col("b").alias("component")).union(known.select(F.col("b"), F.col("b")).distinct())
+        known = settle(_small(_large(known, tasks), tasks))
+    return known.select(F.col("a").alias("node"), F.col("b").alias("component")).union(known.select(F.col("b"), F.col("b")).distinct()).coalesce(tasks)
 
 
 def extend(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (node, component) after more edges (a, b).  Only components that the edges join are worked on."""
     joined = edges.join(labels.alias("x"), F.col("a") == F.col("x.node"), "left").join(labels.alias("y"), F.col("b") == F.col("y.node"), "left")
     between = joined.select(F.coalesce("x.component", "a").alias("a"), F.coalesce("y.component", "b").alias("b"))
-    moved = settle(components(between)).toDF("_from", "_to")
+    moved = narrow(settle(components(between))).toDF("_from", "_to")
     old = labels.join(moved, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
     new = moved.join(labels, F.col("_from") == F.col("node"), "left_anti").toDF("node", "component")
-    return settle(old.union(new))
+    return narrow(settle(old.union(new)))

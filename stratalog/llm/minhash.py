@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import WORD, Words, free_name, lower_table, mix64, settle, slices, stored, text_bytes
+from stratalog.llm.common import WORD, Words, broadcast_if_small, free_name, lower_table, mix64, narrow, settle, slices, stored, text_bytes
 from stratalog.llm.components import components, extend
 
 BINS, ROWS = 128, 4
@@ -45,7 +45,7 @@ HEAVY = 100_000
 #: Edges up to which their table is broadcast, to spare shuffles of texts.
 EDGES = 200_000
 #: Slots of the sketch of shingle counts that orders prefixes.
-SKETCH = 1 << 20
+SKETCH = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -164,10 +164,8 @@ def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 at = end
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    few = edges.limit(EDGES + 1).count() <= EDGES
-    small = F.broadcast if few else lambda df: df
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(small(edges), "a")
-    other = texts.join(small(edges.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(broadcast_if_small(edges, EDGES), "a")
+    other = texts.join(broadcast_if_small(edges.select(F.col("b").alias("node")).distinct(), EDGES), "node", "left_semi")
     two = one.join(other.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = edges.schema["a"].dataType.simpleString()
     return two.mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -175,7 +173,7 @@ def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """key, node, n, comp, own (rows of comp in the bucket) and every (rows of the bucket) of the rows of buckets with several components."""
-    now = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    now = shared.join(broadcast_if_small(labels, EDGES), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     own = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
     every = own.groupBy("key").agg(F.sum("own").alias("every"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1").drop("_comps")
     return now.join(own.join(every, "key"), ["key", "comp"])
@@ -188,7 +186,7 @@ def _stars(mixed: DataFrame, weigh: bool, percent: int) -> DataFrame:
     """
     weight = F.lit(0)
     if weigh:
-        mixed = settle(mixed)
+        mixed = narrow(settle(mixed))
         mixed, weight = mixed.join(mixed.groupBy("node").agg(F.sum(F.col("every") - F.col("own")).alias("weight")), "node"), F.col("weight")
     centre = mixed.groupBy("key").agg(F.max(F.struct("own", "comp", weight.alias("weight"), "node", "n")).alias("c"))
     near = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
@@ -202,7 +200,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) ->
     each in any one order.  The order is by a sketch of the shingles' counts, rare ones first,
     then by hash; where both sets are at the shared shingle bounds what they can have in common.
     """
-    rows = stored(texts.join(rest, "node").select("node", "comp", "text"))
+    rows = stored(texts.join(broadcast_if_small(rest, EDGES), "node").select("node", "comp", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -263,20 +261,20 @@ def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, pe
     """node, component of the classes that have links.  given: edges that need no test."""
     banded = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
-    shared = settle(banded.join(buckets, "key"))  # rows of buckets with more than one class
+    shared = narrow(settle(banded.join(buckets, "key")))  # rows of buckets with more than one class
     # The texts that any star can need, once: without exact copies and documents that share no bucket.
     wanted = classes.join(shared.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     rows = _marked(docs)
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")
     texts = stored(texts.dropDuplicates(["node"]))
-    labels, tested = settle(components(given)), shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    labels, tested = narrow(settle(components(given))), shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
 
     def test(edges: DataFrame) -> bool:
         nonlocal labels, tested
-        fresh = settle(edges.join(tested, ["a", "b"], "left_anti"))
+        fresh = narrow(settle(edges.join(tested, ["a", "b"], "left_anti")))
         if fresh.isEmpty():
             return False
-        found, tested = settle(confirm(fresh, texts, size, percent)), tested.union(fresh)
+        found, tested = narrow(settle(confirm(fresh, texts, size, percent))), narrow(settle(tested.union(fresh)))
         if not found.isEmpty():
             labels = extend(labels, found)
         return True
@@ -286,7 +284,7 @@ def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, pe
     for _ in range(stars):
         if not test(_stars(_mixed(shared, labels), True, percent)):
             break
-    rest = settle(_mixed(shared, labels).select("node", "comp").distinct())
+    rest = narrow(settle(_mixed(shared, labels).select("node", "comp").distinct()))
     if not rest.isEmpty():
         test(prefix_pairs(rest, texts, size, percent))
     return labels
