@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,10 +59,15 @@ def settle(df: DataFrame) -> DataFrame:
     return cut
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 1) -> None:
+    """Lets Spark remove shuffle files that nothing refers to any more.
+
+    What Python drops, the driver's JVM drops a moment later, so files of the last step go in a second round.
+    """
+    for k in range(rounds):
+        time.sleep(0.5 if k else 0)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of a small table that one task takes on.
