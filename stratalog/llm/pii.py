@@ -85,23 +85,28 @@ def _located(text: Column, pattern: str) -> Column:
     """Matches with start and end in code points, and the text between them: prev and next."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,prev:string,next:string>>")
 
-    def place(both: Column) -> Column:
-        piece, hit, n = lambda i: F.element_at(both["pieces"], i), lambda i: F.element_at(both["hits"], i), F.size(both["hits"])
+    def place(hits: Column) -> Column:
+        hit, n = lambda i: F.element_at(hits, i), F.size(hits)
 
-        def step(at: Column, i: Column) -> tuple[Column, Column]:
-            start = at + F.length(piece(i))
-            return start + F.length(hit(i)), start
+        def between(pieces: Column) -> Column:
+            piece = lambda i: F.element_at(pieces, i)
+
+            def step(at: Column, i: Column) -> tuple[Column, Column]:
+                start = at + F.length(piece(i))
+                return start + F.length(hit(i)), start
+
+            def rows(starts: Column) -> Column:
+                def row(i: Column) -> Column:
+                    start = F.element_at(starts, i)
+                    return F.struct(start.alias("start"), (start + F.length(hit(i))).alias("end"), hit(i).alias("value"), piece(i).alias("prev"), piece(i + 1).alias("next"))
 
-        def rows(starts: Column) -> Column:
-            def row(i: Column) -> Column:
-                start = F.element_at(starts, i)
-                return F.struct(start.alias("start"), (start + F.length(hit(i))).alias("end"), hit(i).alias("value"), piece(i).alias("prev"), piece(i + 1).alias("next"))
+                return F.transform(F.sequence(F.lit(1), n), row)
 
-            return F.transform(F.sequence(F.lit(1), n), row)
+            return _let(_scan(n, step, "bigint"), rows)
 
-        return F.when(n > 0, _let(_scan(n, step, "bigint"), rows)).otherwise(none)
+        return F.when(n > 0, _let(F.split(text, pattern, -1), between)).otherwise(none)
 
-    return _let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), place)
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
 def _digits(value: Column) -> Column:
