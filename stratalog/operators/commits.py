@@ -53,6 +53,17 @@ def flatten(commits: DataFrame) -> DataFrame:
     return adds.unionByName(removes).select("branch_id", "seq", F.col("commitId").alias("commit_id"), F.col("precedingCommitId").alias("preceding_id"), F.col("timeStamp").alias("ts"), "op", "pos", "s.*")
 
 
+def rows(netted: DataFrame) -> DataFrame:
+    """Operation rows of commits, as `flatten` gives them, with message; no commit has to fit in one row."""
+    named = netted.join(log(netted), ["branch_id", "commit_seq"])
+    pos = (F.row_number().over(W.partitionBy("branch_id", "commit_seq").orderBy(F.desc("net"), "first_seq")) - 1).cast("int")
+    null = F.lit(None).cast("string")
+    return named.select(
+        F.col("branch_id").cast("string").alias("branch_id"), F.col("commit_seq").cast("long").alias("seq"), "commit_id", "preceding_id", "ts", F.lit("").alias("message"), F.when(F.col("net") > 0, "ADD").otherwise("REMOVE").alias("op"), pos.alias("pos"),
+        null.alias("containingsubject"), "subject", null.alias("containmentpredicate"), "predicate", "datatype", "object",
+    )
+
+
 def batches(netted: DataFrame, size: int = BATCH) -> DataFrame:
     """batch_id (from 1) and total_batches for each row of a commit: additions, then removals, `size` to a batch.
 

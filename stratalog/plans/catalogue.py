@@ -147,17 +147,23 @@ _FLAT_COLUMNS = ["branch_id", "commit_id", "preceding_id", "ts", "op", "pos", *_
 
 @query(_FLAT)
 def commit_flatten(spark, sf_dir):
-    return commits.flatten(commits.nest(_net(spark, sf_dir))).select(*_FLAT_COLUMNS)
+    return commits.rows(_net(spark, sf_dir)).select(*_FLAT_COLUMNS)
 
 
 @query(_FLAT)
 def commit_json_roundtrip(spark, sf_dir):
-    return commits.flatten(logs.decode(logs.encode(commits.nest(_net(spark, sf_dir))))).select(*_FLAT_COLUMNS)
+    return commits.rejoin_rows(commits.split_rows(commits.rows(_net(spark, sf_dir)))).select(*_FLAT_COLUMNS)
 
 
 @query(_FLAT)
 def commit_rejoin(spark, sf_dir):
-    return commits.flatten(commits.rejoin_events(commits.split(commits.nest(_net(spark, sf_dir)), 50))).select(*_FLAT_COLUMNS)
+    return commits.rejoin_rows(commits.split_rows(commits.rows(_net(spark, sf_dir)), 50)).select(*_FLAT_COLUMNS)
+
+
+@query(_FLAT)
+def commit_nested_roundtrip(spark, sf_dir):
+    """Whole commits as single JSON values, for commits that are known to be small."""
+    return commits.flatten(logs.decode(logs.encode(commits.nest(_net(spark, sf_dir))))).select(*_FLAT_COLUMNS)
 
 
 @query(
@@ -413,7 +419,7 @@ def delivery_log_after(spark, sf_dir):
 def commit_log_on_disk(spark, sf_dir):
     """All commits, split in parts, appended to a log on disk and joined again row by row."""
     log = logs.CommitLog(spark, _folder(spark))
-    log.append(commits.split(commits.nest(_net(spark, sf_dir)), 50, 20_000))
+    log.append(commits.split_rows(commits.rows(_net(spark, sf_dir)), 50, 20_000))
     return log.rows().select("branch_id", "commit_id", "preceding_id", "ts", "op", *_SPO)
 
 
