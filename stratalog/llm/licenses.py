@@ -4,7 +4,8 @@ A text is made canonical: ASCII lower case, lines that claim copyright left out,
 spellings made one, everything but letters and digits a blank.  The digests of entire
 documents, and of each of their lines as a whole notice, are hash-joined to the digests of
 known licences and notices, which are made canonical in the same way.  The known table is
-part of the code, so its broadcast has a fixed size.
+part of the code, so its broadcast has a fixed size.  Every known text has one of the words in
+`TRIGGERS`, so other lines need no digest.
 
 Defined results: a null text is empty, and an empty canonical text matches nothing; repeated
 rows are scanned each; an empty table gives an empty result; other columns are ignored.
@@ -15,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import settle
+
 #: Equivalent spellings, made the second of each pair in this order.
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub licens", "sublicens"),
     ("non infring", "noninfring"),
     ("merchantibility", "merchantability"),
@@ -27,8 +29,8 @@ SPELLINGS = (
     ("favour", "favor"),
     ("acknowledgement", "acknowledgment"),
     ("per cent", "percent"),
-    ("v 2 0", "version 2 0"),
-    ("version 2 0 0", "version 2 0"),
+    (" v 2 0", " version 2 0"),
+    (" version 2 0 0", " version 2 0"),
 )
 
 #: Entire licences, and notices of one line.
@@ -117,6 +119,8 @@ DIGESTS = (
 )
 #: A line that claims copyright, after lower-casing; it may be the first or the last.
 CLAIM = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+#: Parts of words, one of which every known text has, whatever its spelling.
+TRIGGERS = ("licen", "permission", "redistribution")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -144,13 +148,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     notices: the licences of the lines that are known notices as a whole, distinct, sorted, comma-joined.
     """
-    table = known(docs.sparkSession)
-    names = F.create_map(*[F.lit(x) for row in table.collect() for x in (row.known, row.license)])  # of the fixed table
+    table = F.broadcast(known(docs.sparkSession))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hits = F.array_compact(F.transform(F.split(text, "\n"), lambda x: F.element_at(names, digest(x))))
-    found = docs.select("doc_id", digest(text).alias("digest"), hits.alias("hits"))
-    found = found.join(F.broadcast(table), F.col("digest") == F.col("known"), "left")
-    return found.select("doc_id", "digest", "license", F.size("hits").cast("long").alias("n_notices"), F.concat_ws(",", F.array_sort(F.array_distinct("hits"))).alias("notices"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)" + "|".join(TRIGGERS)))
+    rows = settle(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(text).alias("digest"), lines.alias("lines")))
+    hits = rows.select("row", F.explode("lines").alias("line")).select("row", digest(F.col("line")).alias("known")).join(table, "known")
+    notices = hits.groupBy("row").agg(F.count(F.lit(1)).alias("n_notices"), F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("notices"))
+    found = rows.drop("lines").join(table, F.col("digest") == F.col("known"), "left").join(notices, "row", "left")
+    return found.select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql_canonical(text: str) -> str:

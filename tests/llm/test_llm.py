@@ -576,6 +576,111 @@ def test_entire_licences_are_known(spark):
     assert not found
 
 
+def test_every_known_text_has_a_trigger(spark):
+    plain = [t.lower() for _, t in (*licenses.KNOWN, *licenses.MORE)]
+    assert all(any(x in t for x in licenses.TRIGGERS) for t in plain)
+    odd = [(1, "x\nReleased under the MIT Licence.\nreleased UNDER the mit license\n" + licenses.KNOWN[9][1], "en", "a"), (2, "licensed under the licence", None, None), (1, licenses.KNOWN[0][1].replace("\n", " "), None, None)]
+    got = sorted((x.doc_id, x.license or "", x.n_notices, x.notices) for x in licenses.scan(spark.createDataFrame(make(odd), DOCS)).collect())
+    assert got == [(1, "", 3, "Apache-2.0,MIT"), (1, "MIT", 1, "MIT"), (2, "", 0, "")]
+
+
+def test_decoded_words_are_the_cheapest_paths():
+    """Viterbi decoding against all paths of the lattice, and all ways to cut a run."""
+    r = np.random.default_rng(3)
+    cost = r.uniform(0.5, 6, (28, 28, 28))
+    model = toxicity.Model(cost, {"bad$": 3.0, "ad$": 1.0, "ab": 2.0}, np.zeros(toxicity.WIDTH))
+
+    def paths(token):
+        out, before = [(0.0, "")], ""
+        for c in token:
+            letters, read = (c, 0.0) if c.isalpha() else (toxicity.SIGNS.get(c, ""), toxicity.READ)
+            leave = toxicity.REPEAT if c == before and c.isalpha() else None if c.isalpha() else toxicity.SKIP if c in toxicity.SIGNS else 0.2
+            new = []
+            for value, word in out:
+                new += [(value + read, word + x) for x in letters]
+                new += [(value + leave, word)] if leave is not None else []
+            out, before = new, c
+        return out
+
+    def letters_cost(word):
+        x = [0, 0, *map(toxicity._letter, word), 0]
+        return sum(cost[a, b, c] for a, b, c in zip(x, x[1:], x[2:], strict=False))
+
+    for token in ("a1b", "bb4dd", "0-1", "aaa", "$6!", "é1é", "b.a.d"):
+        best = min((value + letters_cost(word), word) for value, word in paths(token))
+        assert model.restore(token) == best[1], token
+
+    def cuts(run):
+        if not run:
+            yield []
+        for k in range(1, len(run) + 1):
+            for rest in cuts(run[k:]):
+                yield [run[:k], *rest]
+
+    for run in ("badab", "abadé", "xyzbad"):
+        value = lambda words: sum(letters_cost(w) - model.weights.get(w + "$", 0.0) for w in words) + toxicity.CUT * (len(words) - 1)  # noqa: B023, E731
+        assert math.isclose(value(model.cut(run)), min(map(value, cuts(run))), rel_tol=1e-9), run
+
+
+def test_letter_counts_are_those_of_each_document(docs):
+    plain = np.zeros((28,) * 3)
+    for _, t in texts(docs):
+        codes = [0]
+        for c in t:
+            x = toxicity._letter(lower(c)) if c.isalpha() or ord(c) >= 0xC0 else 0
+            if x or codes[-1]:
+                codes.append(x)
+        if codes[-1]:
+            codes.append(0)
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            plain[a, b, c] += 1
+    got = toxicity.letter_counts(docs)
+    assert (got == plain).all() and (toxicity.letter_counts(docs.repartition(5)) == got).all()
+
+
+def test_discovered_identifiers_are_those_of_plain_rounds(spark):
+    r = random.Random(5)
+    seeds = [f"+1 212 555 {1000 + i}" for i in range(20)]
+    unseen = [f"212-555-{2000 + i}" for i in range(12)] + [f"user{i}@host" for i in range(5)]
+    edges = sorted({(r.choice(seeds + unseen), f"p{r.choice([0, 0, 0, 1, 1, 2, 3])}") for _ in range(150)})
+    frame = spark.createDataFrame([(v, [p]) for v, p in edges] * 2, "value string, patterns array<string>")
+    fits = {v: {"phone"} if v[0] == "2" else {"email"} for v in unseen}
+    size = collections.Counter(p for _, p in edges)
+    scores = {(v, "phone"): 1.0 for v, _ in edges if v in seeds}
+    for _ in range(pii.ROUNDS):
+        sums = collections.Counter()
+        for v, p in edges:
+            for k in ("phone", "email"):
+                sums[p, k] += scores.get((v, k), 0.0)
+        sure = {x: s / size[x[0]] * min(1.0, math.log2(s + 1) / math.log2(2 * 5 + 1)) for x, s in sums.items() if s >= 5}
+        sure = {x: c for x, c in sure.items() if c >= pii.CONFIDENCE}
+        scores = {(v, "phone"): 1.0 for v, _ in edges if v in seeds}
+        for v in unseen:
+            for k in fits[v]:
+                c = [sure[p, k] for x, p in edges if x == v and (p, k) in sure]
+                if c:
+                    scores[v, k] = 1 - math.prod(max(1 - x, 1e-9) for x in c)
+    want = {(v, pii.KINDS.index(k)) for (v, k), s in scores.items() if v in unseen and s >= pii.SCORE}
+    assert {(x.value, x.kind) for x in pii.discover(frame).collect()} == want and want
+
+
+def test_language_sets_grow_by_the_best_language():
+    r = np.random.default_rng(1)
+    p = r.dirichlet(np.full(40, 0.2), 4) * 0.99 + 0.01 / 40
+    for parts in ((1.0, 0, 0, 0), (0.6, 0, 0.4, 0), (0.4, 0.3, 0, 0.3)):
+        n = np.bincount(r.choice(40, 600, p=np.array(parts) @ p), minlength=40).astype(float)
+        some = n > 0
+        theta, value = language.infer(p[:, some], n[some])
+        cost = language.PENALTY * 0.5 * math.log(n.sum() + 1)
+        best = {}
+        for mask in range(1, 16):
+            chosen = [i for i in range(4) if mask >> i & 1]
+            part, fit = language._mix(p[chosen][:, some], n[some], np.full(len(chosen), 1 / len(chosen)), 300)
+            best[mask] = fit - cost * len(chosen)
+        found = sum(1 << i for i in range(4) if theta[i] > 0)
+        assert found == max(best, key=best.get) == sum(1 << i for i in range(4) if parts[i]) and math.isclose(theta.sum(), 1)
+
+
 def test_rare_insults_of_a_large_sample_are_learned(spark):
     rows = [(f"plain words {'zounderkite' if k < 8 else 'more'}".encode(), int(k < 900)) for k in range(9000)]
     weights, t, n = toxicity.learn_lexicon(spark.createDataFrame(rows, "text binary, toxic long"))
