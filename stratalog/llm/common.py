@@ -51,14 +51,20 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; Spark removes it when nothing refers to it.
 
     Shuffle files of what is now cut off stay until the driver's garbage is collected, which a
-    loop of small steps may not cause for long, so it is asked for here.
+    loop of small steps may not cause for long, so it is asked for here, from time to time.
     """
     _shared_folder(df.sparkSession)
     cut = df.checkpoint()
-    release(df.sparkSession)
+    if time.monotonic() - _released[0] > RELEASE_SECONDS:
+        release(df.sparkSession)
     return cut
 
 
+#: Least seconds between two releases in a loop of steps, and when the last one was.
+RELEASE_SECONDS = 1.5
+_released = [0.0]
+
+
 def release(spark: SparkSession, rounds: int = 1) -> None:
     """Lets Spark remove shuffle files that nothing refers to any more.
 
@@ -68,6 +74,7 @@ def release(spark: SparkSession, rounds: int = 1) -> None:
         time.sleep(0.5 if k else 0)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+    _released[0] = time.monotonic()
 
 
 #: Rows of a small table that one task takes on.
@@ -85,9 +92,20 @@ def narrow(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, for rows with texts."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As stored, and the folder of the table, for `discard`."""
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import WORD, Words, broadcast_if_small, free_name, lower_table, mix64, narrow, settle, slices, stored, text_bytes
+from stratalog.llm.common import WORD, Words, broadcast_if_small, discard, free_name, lower_table, mix64, narrow, settle, slices, stored_at, text_bytes
 from stratalog.llm.components import components, extend
 
 BINS, ROWS = 128, 4
@@ -200,7 +200,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) ->
     each in any one order.  The order is by a sketch of the shingles' counts, rare ones first,
     then by hash; where both sets are at the shared shingle bounds what they can have in common.
     """
-    rows = stored(texts.join(broadcast_if_small(rest, EDGES), "node").select("node", "comp", "text"))
+    rows, path = stored_at(texts.join(broadcast_if_small(rest, EDGES), "node").select("node", "comp", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -230,6 +230,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
     kind = rest.schema["node"].dataType.simpleString()
     dealt = settle(rows.mapInArrow(prefixes, f"node {kind}, comp {kind}, token long, at long, n long"))
+    discard(rest.sparkSession, path)
     several = dealt.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("token")
     dealt = dealt.join(several, "token", "left_semi")
     x, y = dealt.alias("x"), dealt.alias("y")
@@ -266,7 +267,7 @@ def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, pe
     wanted = classes.join(shared.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     rows = _marked(docs)
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")
-    texts = stored(texts.dropDuplicates(["node"]))
+    texts, path = stored_at(texts.dropDuplicates(["node"]))
     labels, tested = narrow(settle(components(given))), shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
 
     def test(edges: DataFrame) -> bool:
@@ -287,6 +288,7 @@ def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, pe
     rest = narrow(settle(_mixed(shared, labels).select("node", "comp").distinct()))
     if not rest.isEmpty():
         test(prefix_pairs(rest, texts, size, percent))
+    discard(docs.sparkSession, path)
     return labels
 
 

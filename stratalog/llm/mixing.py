@@ -3,9 +3,10 @@
 Sources get word targets from repeating weights, capped at a number of epochs of their own
 size, the excess reshared by weight.  The targets are turned into integer quotas of
 equal-token blocks by highest quotients w/(2k-1): over sources, then over groups of a
-source's shards, then over the shards of a group, so no step ranks more than `FAN` rows of
-one source.  Within a shard the documents form a seeded stream cut into blocks; whole
-passes are taken first and a seeded permutation of the blocks gives the rest.
+source's shards, then over the shards of a group, so a step ranks the `FAN` shards of a group
+or one row for each FAN * SHARD words of a source.  Within a shard the documents form a seeded
+stream cut into blocks; whole passes are taken first and a seeded permutation of the blocks
+gives the rest.
 
 Everything is DataFrame operations.  Defined results: null texts have size 0; a null source
 is a source of its own, last; repeated rows are documents of their own; an empty table gives
@@ -25,7 +26,7 @@ from stratalog.llm.common import WORD, broadcast_if_small, free_name, settle
 BLOCK = 16
 #: Words of a shard, about.
 SHARD = 16_384
-#: Shards of a group, and groups of a source at most.
+#: Shards of a group.
 FAN = 1024
 #: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
 SOURCES = 100_000
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     sums = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs))
     seats = F.round(F.sum("source_size").over(W.partitionBy(F.lit(0))) / block).cast("long")
     quotas = apportion(sums.withColumn("_seats", seats), [], ["source"], "target", "_seats").select("source", "source_size", "target", F.col("quota").alias("source_quota"))
-    shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)), F.lit(FAN * FAN)).cast("long")
+    shards = F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).cast("long")
     quotas = settle(quotas.withColumn("_shards", shards))
     named = broadcast_if_small(quotas.withColumnRenamed("source", "_source"), SOURCES)
     dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")))
