@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are held as arrays at once, unless one document is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words are maximal runs of anything but these.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,6 +108,11 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is made once for each row, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Marked for broadcast if it has at most `limit` rows, else left to a shuffle join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

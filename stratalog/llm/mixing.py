@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import WORD, broadcast_if_small, free_name, settle
+from stratalog.llm.common import WORD, broadcast_if_small, free_name, let, settle
 
 #: Words of a block.
 BLOCK = 16
@@ -84,8 +84,8 @@ def _draws(block: int, epochs: int) -> tuple[Column, Column]:
 
 def drawn_text(text: Column, passes: Column, spans: Column) -> Column:
     """The words that the mix takes of a text: the text once for each pass, then the words of each span, on lines of their own."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    parts = F.transform(spans, lambda x: F.concat_ws(" ", F.slice(words, (x.at + 1).cast("int"), x.n.cast("int"))))
+    cut = lambda words: F.transform(spans, lambda x: F.concat_ws(" ", F.slice(words, (x.at + 1).cast("int"), x.n.cast("int"))))
+    parts = F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), cut)).otherwise(F.array().cast("array<string>"))
     return F.concat_ws("\n", F.array_repeat(text, passes.cast("int")), parts)
 
 
@@ -98,9 +98,10 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     rows, names = mix(docs, carry=tuple(docs.columns)).where("taken > 0"), [c.lower() for c in docs.columns]
     columns = [F.col(f"carry_{i}").alias(c) for i, c in enumerate(docs.columns)]
     text = drawn_text(F.col(f"carry_{names.index('text')}").cast("string"), F.col("passes"), F.col("spans"))
-    columns[names.index("text")] = text.alias(docs.columns[names.index("text")])
+    rows = rows.withColumn("_drawn", text)
+    columns[names.index("text")] = F.col("_drawn").alias(docs.columns[names.index("text")])
     if "n_chars" in names:
-        columns[names.index("n_chars")] = F.length(text).cast(docs.schema["n_chars"].dataType).alias(docs.columns[names.index("n_chars")])
+        columns[names.index("n_chars")] = F.length("_drawn").cast(docs.schema["n_chars"].dataType).alias(docs.columns[names.index("n_chars")])
     return rows.select(*columns, *[F.col(c).alias(free_name(docs, c)) for c in ("size", "source_size", "target", "taken")])
 
 

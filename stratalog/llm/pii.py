@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import broadcast_if_small, free_name, settle
+from stratalog.llm.common import broadcast_if_small, free_name, let, settle
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each has the leftmost non-overlapping matches of the plain pattern in the comment, but for
@@ -50,11 +50,6 @@ SMALL = 100_000
 _SPAN = "array<struct<kind:int,start:long,end:long,value:string>>"
 
 
-def _let(value: Column, body) -> Column:
-    """body of the value, which is made once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _scan(n: Column, step, kind: str) -> Column:
     """What step gives for each of 1..n, as an array; step(at, i) gives the next position and an element.
 
@@ -78,7 +73,7 @@ def _scan(n: Column, step, kind: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), n, width), F.struct(zero.alias("at"), none_of_none.alias("out")), block, lambda s: F.flatten(s["out"]))
 
-    return F.when(n > 0, _let(F.ceil(F.sqrt(n)).cast("int"), fold)).otherwise(none)
+    return F.when(n > 0, let(F.ceil(F.sqrt(n)).cast("int"), fold)).otherwise(none)
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -102,11 +97,11 @@ def _located(text: Column, pattern: str) -> Column:
 
                 return F.transform(F.sequence(F.lit(1), n), row)
 
-            return _let(_scan(n, step, "bigint"), rows)
+            return let(_scan(n, step, "bigint"), rows)
 
-        return F.when(n > 0, _let(F.split(text, pattern, -1), between)).otherwise(none)
+        return F.when(n > 0, let(F.split(text, pattern, -1), between)).otherwise(none)
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
 def _digits(value: Column) -> Column:
@@ -245,7 +240,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return _scan(F.size(both["order"]), step, "string")
 
-    pieces = _let(F.struct(order.alias("order"), F.encode(F.col("text"), "UTF-32").alias("wide")), cut)
+    pieces = let(F.struct(order.alias("order"), F.encode(F.col("text"), "UTF-32").alias("wide")), cut)
     last = F.array_max(F.transform(spans_, lambda s: s["end"]))
     hidden = F.col(spans_).isNotNull()
     text = F.concat(F.concat_ws("", pieces), F.substring(F.col("text"), (last + 1).cast("int"), F.lit(2**31 - 1)))
