@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import slices, text_bytes
+from stratalog.llm.common import slices, stored, text_bytes
 
 SAMPLE, LEXICON = 16_000, 20_000
 #: Toxic documents that an entry of the lexicon must occur in, however many there are.
@@ -278,7 +278,7 @@ def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id and toxic of the documents to learn from; the character model learns from all docs."""
     sample = sample_labels(labels).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("long").alias("toxic"))
+    rows = stored(docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("long").alias("toxic")))
     weights, t, n = learn_lexicon(rows)
     prior = np.array([np.log((t + 0.5) / (n + 0.5))] + [0.0] * (WIDTH - 1))
     corpus = _conditional(letter_counts(docs))
