@@ -379,3 +379,45 @@ def test_names_and_literals(spark):
     values = spark.createDataFrame([("12",), ("1.5",), ("300",), (None,)], "object string")
     good, bad = ontology.assignable_literals(values, V.XSD + "byte")
     assert [r.object for r in good.collect()] == ["12"] and bad.count() == 3
+
+
+TURTLE = """@prefix : <http://x#> . @base <http://base/dir/> .
+PREFIX owl: <http://www.w3.org/2002/07/owl#>
+prefix xsd: <http://www.w3.org/2001/XMLSchema#>
+# a remark with <http://no> . in it
+:Issue a owl:Class ; :note "one # two", 'it''s' , \"\"\"long "quoted"
+text\\u00e9\"\"\"@en-GB ; .
+<rel> :n 1, -2.5, 1e3, true ; :typed "7"^^xsd:int ; :list ( :a "b" [ :deep _:b1 ] ) .
+[ :of :Issue ] .
+[] :p :a.b , :c\\,d .
+"""
+
+
+def test_turtle(spark, tmp_path):
+    from stratalog.sources import turtle
+
+    text = TURTLE.replace("'it''s'", "'it\\'s'")
+    rows = set(turtle.parse(text))
+    x = lambda n: "http://x#" + n
+    assert {(x("Issue"), V.TYPE, V.CLASS, None), (x("Issue"), x("note"), "one # two", V.XSD + "string"), (x("Issue"), x("note"), "it's", V.XSD + "string"), (x("Issue"), x("note"), 'long "quoted"\ntexté', logs.LANG_STRING + "@en-GB")} <= rows
+    rel = "http://base/dir/rel"
+    assert {(rel, x("n"), "1", V.XSD + "integer"), (rel, x("n"), "-2.5", V.XSD + "decimal"), (rel, x("n"), "1e3", V.XSD + "double"), (rel, x("n"), "true", V.XSD + "boolean"), (rel, x("typed"), "7", V.XSD + "int")} <= rows
+    heads = {o for s, p, o, _ in rows if (s, p) == (rel, x("list"))}
+    firsts = {s: (o, d) for s, p, o, d in rows if p == V.RDF + "first"}
+    rests = {s: o for s, p, o, _ in rows if p == V.RDF + "rest"}
+    at, items = heads.pop(), []
+    while at != V.RDF + "nil":
+        items.append(firsts[at])
+        at = rests[at]
+    assert items[:2] == [(x("a"), None), ("b", V.XSD + "string")] and (items[2][0], x("deep"), "b1", None) in rows
+    assert {o for s, p, o, _ in rows if p == x("p")} == {x("a.b"), x("c,d")} and len({s for s, p, *_ in rows if p == x("of")}) == 1
+    for bad in ("no turtle", ":a :b :c .", "<a> <b> <c>", '<a> <b> "open .'):
+        with pytest.raises(ValueError):
+            turtle.parse(bad)
+    (tmp_path / "good.ttl").write_text(text)
+    (tmp_path / "bad.ttl").write_text("no turtle")
+    assert {tuple(r) for r in turtle.read_ontology(spark, str(tmp_path / "good.ttl")).collect()} == rows
+    assert turtle.read_ontology(spark, str(tmp_path / "bad.ttl")).isEmpty() and turtle.read_ontology(spark, str(tmp_path / "none.ttl")).isEmpty()
+    state = turtle.read_turtle(spark, str(tmp_path / "good.ttl"))
+    logs.write_triples(state, str(tmp_path / "out.nt"))
+    assert turtle.read_ontology(spark, str(tmp_path / "out.nt")).count() > 10
