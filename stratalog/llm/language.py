@@ -9,7 +9,7 @@ prediction is the set's largest language, the score its proportion.
 
 A document is known to be in learned languages if its grams are about as likely as grams of
 the predicted language are: not less likely, on average, by `STRANGE` nats and by `SIGMAS`
-standard errors.
+standard errors, grams of one word or code taken as one observation.
 
 Defined results: a null text or one without a letter is `und` with score 0 and not known, as
 is every text if there is nothing to learn from.  Ties go to the first language by code point.
@@ -40,6 +40,8 @@ LEAST = 0.05
 LANGS = 256
 #: Nats a gram, and standard errors, by which the grams of a document in unlearned languages are too unlikely.
 STRANGE, SIGMAS = 2.0, 6.0
+#: Grams that are strange or not together, as those of a code or an address.
+TOGETHER = 16
 #: Stands between documents; no UTF-8 text has it.
 _BETWEEN = 0xFF
 #: Nats of the penalty for each language more, in half log grams.
@@ -157,7 +159,7 @@ def _predict(text: bytes, letter: bool, langs: list[str], table: np.ndarray, usu
     theta, fit_ = infer(table[each].T, n.astype(np.float64))
     order = [i for i in np.argsort(-theta, kind="stable") if theta[i] > 0]
     mean, variance = usual[0][order[0]], usual[1][order[0]]
-    known = fit_ / len(codes) >= mean - max(STRANGE, SIGMAS * np.sqrt(variance / len(codes)))
+    known = fit_ / len(codes) >= mean - max(STRANGE, SIGMAS * np.sqrt(variance * TOGETHER / len(codes)))
     return langs[order[0]], float(min(1.0, theta[order[0]])), [langs[i] for i in order], bool(known)
 
 
