@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,14 +169,12 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
     """Rows and their texts (column `text`, bytes) in pieces of about `limit` bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
-        texts = column.to_pylist()
+        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= limit):
-                size += len(texts[end]) + 1
-                end += 1
-            yield batch.slice(at, end - at), texts[at:end]
+        while at < len(column):
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + limit, "right")))
+            yield batch.slice(at, end - at), column.slice(at, end - at).to_pylist()
             at = end
 
 

@@ -37,9 +37,9 @@ from stratalog.llm.components import components, extend
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: First and last band, exclusive, of each round of stars.
-ROUNDS = ((0, 1), (1, 4), (4, 12), (12, BANDS))
+ROUNDS = ((0, 2), (2, BANDS))
 #: Rounds of stars over all bands, before the pairs that stars leave untested are found by a join.
-STARS = 2
+STARS = 1
 #: Classes with more than this share of all rows are broadcast: there are at most so many.
 HEAVY = 100_000
 #: Edges up to which their table is broadcast, to spare shuffles of texts.
