@@ -87,8 +87,12 @@ def tasks_for(rows: int) -> int:
 
 
 def narrow(df: DataFrame) -> DataFrame:
-    """A settled table in as many partitions as its rows need at most; what fits one task needs no shuffle."""
-    return df.coalesce(tasks_for(df.count()))
+    """As settle, in as many partitions as the rows need at most: few rows make few files, and what fits one task needs no shuffle."""
+    held = df.persist()
+    tasks = tasks_for(held.count())
+    cut = settle(held.coalesce(tasks)).coalesce(tasks)
+    held.unpersist()
+    return cut
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import narrow, settle, tasks_for
+from stratalog.llm.common import narrow, tasks_for
 
 
 def _large(edges: DataFrame, tasks: int) -> DataFrame:
@@ -29,15 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     the size.  Few edges are worked on in few tasks.  Nulls, loops and repeated edges are ignored.
     """
     known = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    known, state = settle(known), None
+    known, state = narrow(known), None
     while True:
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         tasks = tasks_for(2 * now[0])
-        known = known.coalesce(tasks)
         if now == state or not now[0]:
             break
         state = now
-        known = settle(_small(_large(known, tasks), tasks))
+        known = narrow(_small(_large(known, tasks), tasks))
     return known.select(F.col("a").alias("node"), F.col("b").alias("component")).union(known.select(F.col("b"), F.col("b")).distinct()).coalesce(tasks)
 
 
@@ -45,7 +44,7 @@ def extend(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (node, component) after more edges (a, b).  Only components that the edges join are worked on."""
     joined = edges.join(labels.alias("x"), F.col("a") == F.col("x.node"), "left").join(labels.alias("y"), F.col("b") == F.col("y.node"), "left")
     between = joined.select(F.coalesce("x.component", "a").alias("a"), F.coalesce("y.component", "b").alias("b"))
-    moved = narrow(settle(components(between))).toDF("_from", "_to")
+    moved = narrow(components(between)).toDF("_from", "_to")
     old = labels.join(moved, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
     new = moved.join(labels, F.col("_from") == F.col("node"), "left_anti").toDF("node", "component")
-    return narrow(settle(old.union(new)))
+    return narrow(old.union(new))

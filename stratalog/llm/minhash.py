@@ -186,7 +186,7 @@ def _stars(mixed: DataFrame, weigh: bool, percent: int) -> DataFrame:
     """
     weight = F.lit(0)
     if weigh:
-        mixed = narrow(settle(mixed))
+        mixed = narrow(mixed)
         mixed, weight = mixed.join(mixed.groupBy("node").agg(F.sum(F.col("every") - F.col("own")).alias("weight")), "node"), F.col("weight")
     centre = mixed.groupBy("key").agg(F.max(F.struct("own", "comp", weight.alias("weight"), "node", "n")).alias("c"))
     near = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
@@ -262,20 +262,20 @@ def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, pe
     """node, component of the classes that have links.  given: edges that need no test."""
     banded = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key")
-    shared = narrow(settle(banded.join(buckets, "key")))  # rows of buckets with more than one class
+    shared = narrow(banded.join(buckets, "key"))  # rows of buckets with more than one class
     # The texts that any star can need, once: without exact copies and documents that share no bucket.
     wanted = classes.join(shared.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     rows = _marked(docs)
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")
     texts, path = stored_at(texts.dropDuplicates(["node"]))
-    labels, tested = narrow(settle(components(given))), shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    labels, tested = narrow(components(given)), shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
 
     def test(edges: DataFrame) -> bool:
         nonlocal labels, tested
-        fresh = narrow(settle(edges.join(tested, ["a", "b"], "left_anti")))
+        fresh = narrow(edges.join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             return False
-        found, tested = narrow(settle(confirm(fresh, texts, size, percent))), narrow(settle(tested.union(fresh)))
+        found, tested = narrow(confirm(fresh, texts, size, percent)), narrow(tested.union(fresh))
         if not found.isEmpty():
             labels = extend(labels, found)
         return True
@@ -285,7 +285,7 @@ def _linked(classes: DataFrame, given: DataFrame, docs: DataFrame, size: int, pe
     for _ in range(stars):
         if not test(_stars(_mixed(shared, labels), True, percent)):
             break
-    rest = narrow(settle(_mixed(shared, labels).select("node", "comp").distinct()))
+    rest = narrow(_mixed(shared, labels).select("node", "comp").distinct())
     if not rest.isEmpty():
         test(prefix_pairs(rest, texts, size, percent))
     discard(docs.sparkSession, path)
