@@ -11,11 +11,17 @@ unknown word add up to 1.
 
 The tree is never in one place.  A context that has a word rarer than 1/`HEAVY` of the tokens
 lives in the bucket of that word (the last one, if both are rarer), where its suffix lives
-too.  Slices of documents send their distinct contexts with next words to the buckets, sorted
+too.  Frequent words, at most `HEAVY`, are numbered.  Slices of documents send their distinct contexts with next words to the buckets, sorted
 and packed; a bucket counts, tests and smooths, and answers each slice with two numbers for
-each of them.  Frequent words, at most `HEAVY`, have states over frequent words and one class
-of all others, in a broadcast table of at most HEAVY * (HEAVY + 1) counts; two frequent words
-in a row are scored at the last of them.
+each of them.
+
+A context of frequent words alone is in no bucket, but what follows it is: with `whole`, as the
+query has it, the bucket of each word counts it after every frequent word and after every two.
+How often a context occurs and how many different words follow are added up over all buckets, at
+most HEAVY * (2 * HEAVY + 1) cells, and broadcast; two frequent words are tested like other
+contexts, one is always retained.  Tests, there and in buckets, know rarer next words as one class:
+each has the mean probability of the class.  Without `whole`, scores know them so as well, and two
+frequent words in a row are scored at the last of them.
 
 Words are told apart by 64-bit hashes and, among the rarer words around one word, by 24 bits of
 them, or 32 if there are so many tokens that 24 could confuse more than 1 in `CLEAR` of them.
@@ -28,7 +34,7 @@ false; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,8 @@ DIVERGENCE = 2.0
 #: Bytes of text in a slice and tokens in a bucket, about.
 SLICE, BUCKET = 8 << 20, 1 << 20
 CLEAR = 64
+#: Gains of pairs of frequent words are added up in this many parts of a nat, whatever their order.
+FIXED = 1 << 20
 #: Distinct words that a task counts before it passes them on.
 HELD = 2_000_000
 #: The hash of the end, as of a word.
@@ -95,6 +103,21 @@ def word_counts(docs: DataFrame, train: Column) -> DataFrame:
     return docs.where(train).select(text_bytes().alias("text")).mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
+@dataclass
+class Whole:
+    """What follows frequent words, among all words; a pair of word i and then j is i * h + j.
+
+    Word i comes before frequent word j n[i, j] times; sums are occurrences of a context and
+    different words after it (`kinds`), 0 if the pair is not retained.
+    """
+
+    n: np.ndarray
+    sums: np.ndarray
+    kinds: np.ndarray
+    pair_sums: np.ndarray
+    pair_kinds: np.ndarray
+
+
 @dataclass
 class Frequent:
     """Root and states of the frequent words: what every task knows.
@@ -110,6 +133,7 @@ class Frequent:
     p: np.ndarray
     other: np.ndarray
     rest: np.ndarray
+    whole: Whole | None = None
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 if it is not frequent."""
@@ -125,12 +149,25 @@ class Frequent:
         return np.where(j >= 0, self.p[i, j], self.other[i] * u) + self.rest[i] * u
 
 
-def frequent_states(docs: DataFrame, hashes: np.ndarray, c: np.ndarray, tokens: int, types: int) -> Frequent:
-    """docs: the training documents; hashes (sorted) and c of the frequent words."""
+def _root(hashes: np.ndarray, c: np.ndarray, tokens: int, types: int) -> Frequent:
     h, size = len(hashes), float(tokens + types + 1)
     u = (c + 1) / size
     others = max(1, types + 1 - h)
-    blank = Frequent(hashes, u, size, max(1.0 - u.sum(), 1e-12) / others, np.zeros((h, h)), np.zeros(h), np.ones(h))
+    return Frequent(hashes, u, size, max(1.0 - u.sum(), 1e-12) / others, np.zeros((h, h)), np.zeros(h), np.ones(h))
+
+
+def _states(root: Frequent, n: np.ndarray) -> Frequent:
+    """n[i, j]: frequent words j after frequent words i; n[i, h]: other words."""
+    h = len(root.hashes)
+    kinds = (n > 0).sum(1)
+    all_ = np.maximum(n.sum(1) + kinds, 1e-12)
+    rest = np.where(kinds > 0, kinds / all_, 1.0)
+    return replace(root, p=n[:, :h] / all_[:, None], other=n[:, h] / all_ / max(1.0 - root.u.sum(), 1e-12), rest=rest)
+
+
+def frequent_states(docs: DataFrame, hashes: np.ndarray, c: np.ndarray, tokens: int, types: int) -> Frequent:
+    """docs: the training documents; hashes (sorted) and c of the frequent words."""
+    h, blank = len(hashes), _root(hashes, c, tokens, types)
     if not h:
         return blank
     shared = docs.sparkSession.sparkContext.broadcast(blank)
@@ -149,11 +186,7 @@ def frequent_states(docs: DataFrame, hashes: np.ndarray, c: np.ndarray, tokens:
     cells = docs.select(text_bytes().alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(h * (h + 1))
     n[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    n = n.reshape(h, h + 1)
-    kinds = (n > 0).sum(1)
-    all_ = np.maximum(n.sum(1) + kinds, 1e-12)
-    rest = np.where(kinds > 0, kinds / all_, 1.0)
-    return Frequent(hashes, u, size, blank.mean, n[:, :h] / all_[:, None], n[:, h] / all_ / max(1.0 - u.sum(), 1e-12), rest)
+    return _states(blank, n.reshape(h, h + 1))
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -178,11 +211,123 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _falls(token: np.ndarray, one: np.ndarray, two: np.ndarray, h: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, frequent words before it) as one number each; the tokens and, of each of those, its place.
+
+    one and two: numbers of the words before; what has any word two counts as h there, if some.  The
+    words before are told by one * (h + 1) + two.
+    """
+    first, second = np.flatnonzero((one >= 0) & some), np.flatnonzero((one >= 0) & (two >= 0))
+    at = np.concatenate((first, second))
+    last = np.concatenate((np.full(len(first), h), two[second]))
+    falls, fall = np.unique((token[at] * h + one[at]) * (h + 1) + last, return_inverse=True)
+    return falls, at, fall
+
+
+#: Words, and how many contexts stand before each; the contexts, and how often.
+_FALLS = [np.uint64, np.uint32, np.uint32, np.uint64]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, contexts and how often, each pair once, sorted."""
+    word, context, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((context, word))
+    word, context, n = word[order], context[order], n[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+    at = np.flatnonzero(new)
+    return word[at], context[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _fall_blob(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> bytes:
+    words, per = np.unique(word, return_counts=True)
+    return _pack([words, per.astype(np.uint32), context, n])
+
+
+def _fall_arrays(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, per, context, n = _unpack(blob, _FALLS)
+    return np.repeat(words, per), context, n
+
+
+def whole_states(docs: DataFrame, hashes: np.ndarray, c: np.ndarray, tokens: int, types: int, buckets: int, divergence: float) -> Frequent:
+    """As frequent_states, and what follows one frequent word and two, among all words."""
+    h, root = len(hashes), _root(hashes, c, tokens, types)
+    if not h:
+        return replace(root, whole=Whole(root.p, *(np.zeros(0) for _ in range(4))))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(root)
+
+    def batch(word: np.ndarray, before: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        at = np.searchsorted(_bucket(word, buckets), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(at) > 0).tolist()
+        blobs = [_fall_blob(*(x[at[b] : at[b + 1]] for x in (word, before, n))) for b in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _, texts in slices(batches):
+            hashed, bounds = _tokens(texts)
+            words, token = np.unique(hashed, return_inverse=True)
+            one, two = _before(shared.value.of(words)[token], bounds, shared.value.of(np.array([END]))[0])
+            falls, _, fall = _falls(token, one, two, h, np.ones(len(token), bool))
+            held.append((words[falls // (h * (h + 1))], (falls % (h * (h + 1))).astype(np.uint32), np.bincount(fall, minlength=len(falls)).astype(np.uint64)))
+            if sum(len(x) for x, _, _ in held) > HELD:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield batch(*held[0])
+                    held = []
+        if held:
+            yield batch(*_merged(held))
+
+    def gather(part: pa.Table) -> pa.Table:
+        blob = _fall_blob(*_merged([_fall_arrays(x) for x in part.column("blob").to_pylist()]))
+        return pa.table({"bucket": part.column("bucket").slice(0, 1), "blob": pa.array([blob], pa.binary())})
+
+    kind = "bucket long, blob binary"
+    falls = settle(docs.select(text_bytes().alias("text")).mapInArrow(run, kind).groupBy("bucket").applyInArrow(gather, kind)).select("blob")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Numbers of words, of the two words before (h: any) and how often."""
+        for rows in batches:
+            for blob in rows.column(0):
+                word, before, n = _fall_arrays(blob.as_py())
+                yield shared.value.of(word), before.astype(np.int64) // (h + 1), before.astype(np.int64) % (h + 1), n.astype(np.float64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for j, one, two, n in parts(batches):
+            cells, cell = np.unique(np.where(two == h, one * (h + 1) + np.where(j < 0, h, j), h * (h + 1) + two * h + one), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.bincount(cell, n).astype(np.int64)), pa.array(np.bincount(cell))], ["cell", "n", "kinds"])
+
+    sums = falls.mapInArrow(tally, "cell long, n long, kinds long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    n, kinds = np.zeros(h * (2 * h + 1)), np.zeros(h * (2 * h + 1))
+    for to, name in ((n, "n"), (kinds, "kinds")):
+        to[sums.column("cell").to_numpy()] = sums.column(name).to_numpy()
+    singles = h * (h + 1)
+    table, kinds1, all2, kinds2 = n[:singles].reshape(h, h + 1), kinds[:singles].reshape(h, h + 1).sum(1), n[singles:], kinds[singles:]
+    states = _states(root, table)
+    told = context.broadcast((states, all2, kinds2))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, all_, kinds_ = told.value
+        for j, one, two, n in parts(batches):
+            j, one, two, n = (x[two < h] for x in (j, one, two, n))
+            p = known.after(one, j, np.where(j >= 0, known.u[j], known.mean))
+            pairs, pair = np.unique(two * h + one, return_inverse=True)
+            gain = _gains(pair, len(pairs), n, all_[pairs], kinds_[pairs], p)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.round(gain * FIXED).astype(np.int64))], ["pair", "gain"])
+
+    found = falls.mapInArrow(gains, "pair long, gain long").groupBy("pair").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= round(divergence * FIXED)).toArrow()
+    keep = np.zeros(h * h, bool)
+    keep[found.column("pair").to_numpy()] = True
+    return replace(states, whole=Whole(table[:, :h], table.sum(1) + kinds1, kinds1, np.where(keep, all2 + kinds2, 0), np.where(keep, kinds2, 0)))
+
+
 class Slice:
     """The tokens of some texts and their distinct contexts with next words, sorted by the word whose bucket they go to.
 
     A context is `kept` by its last word, or by the one before if the last is frequent (kind 1).
     Runs are (keeper, kind, next word, other word), heads the distinct ones without the other word.
+    Falls are words with the frequent words before them, sorted by the word, whose bucket they go to.
     """
 
     def __init__(self, texts: list[bytes], frequent: Frequent):
@@ -203,39 +348,65 @@ class Slice:
         runs, self.run = np.unique(head * n + other, return_inverse=True)
         self.head_keeper, self.head_kind, self.head_word = heads // n // 2, heads // n % 2, heads % n
         self.run_head, self.run_other = runs // n, runs % n
+        h = len(frequent.hashes) if frequent.whole else 0
+        number = self.number if h else np.full(n, -1)
+        self.before = _before(number[token], self.bounds, number[end])
+        falls, self.fall_at, self.fall = _falls(token, *self.before, h, number[token] < 0)
+        self.fall_word, self.fall_before = falls // max(1, h * (h + 1)), falls % max(1, h * (h + 1))
 
     def messages(self, train: np.ndarray, buckets: int, mask: int) -> Iterator[tuple[int, bytes]]:
         """What goes to each bucket, and its number.  train: which texts are learned from; mask: bits of a rare word's name."""
         learn = np.repeat(train, np.diff(self.bounds)).astype(np.float64)
         c = np.bincount(self.run, learn[self.at], len(self.run_head)).astype(np.uint32)
         count = np.bincount(self.token, learn, len(self.words)).astype(np.uint32)
-        rare = np.flatnonzero(self.number < 0)
+        fall_n = np.bincount(self.fall, learn[self.fall_at], len(self.fall_word)).astype(np.uint32)
+        falls_of = np.bincount(self.fall_word, minlength=len(self.words)).astype(np.uint32)
         low, number = (self.words & np.uint64(mask)).astype(np.uint32), (self.number + 1).astype(np.uint32)
         heads_of = [np.bincount(self.head_keeper[self.head_kind == k], minlength=len(self.words)).astype(np.uint32) for k in (0, 1)]
         edges = np.arange(buckets + 1)
-        word_at = np.searchsorted(_bucket(self.words[rare], buckets), edges)
+        word_at = np.searchsorted(_bucket(self.words, buckets), edges)
         head_at = np.searchsorted(_bucket(self.words[self.head_keeper], buckets), edges)
         run_at = np.searchsorted(self.run_head, head_at)
+        fall_at = np.searchsorted(self.fall_word, word_at)
         for b in np.flatnonzero(np.diff(word_at) > 0).tolist():
-            words, runs = rare[word_at[b] : word_at[b + 1]], slice(run_at[b], run_at[b + 1])
+            words, runs, falls = slice(word_at[b], word_at[b + 1]), slice(run_at[b], run_at[b + 1]), slice(fall_at[b], fall_at[b + 1])
             per_head = np.bincount(self.run_head[runs] - head_at[b], minlength=head_at[b + 1] - head_at[b]).astype(np.uint32)
             arrays = [self.words[words], count[words], heads_of[0][words], heads_of[1][words], per_head, c[runs]]
             for near in (self.head_word[head_at[b] : head_at[b + 1]], self.run_other[runs]):
                 arrays += [number[near], low[near[number[near] == 0]]]
-            yield b, _pack(arrays)
-
-    def score(self, frequent: Frequent, c: np.ndarray, kinds: np.ndarray, n: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> list[np.ndarray]:
+            yield b, _pack([*arrays, falls_of[words], self.fall_before[falls].astype(np.uint32), fall_n[falls]])
+
+    def _after_frequent(self, whole: Whole, p: np.ndarray, n: np.ndarray) -> None:
+        """p at the root becomes p after frequent words.  n: of falls."""
+        h, (one, two) = len(whole.n), self.before
+        own = np.zeros(len(p))
+        single = self.fall_before[self.fall] % max(1, h + 1) == h
+        own[self.fall_at[single]] = n[self.fall[single]]
+        after = np.flatnonzero(one >= 0)
+        i, j = one[after], self.number[self.token[after]]
+        own[after] = np.where(j >= 0, whole.n[i, j], own[after])
+        p[after] = np.where(whole.sums[i] > 0, (own[after] + whole.kinds[i] * p[after]) / np.maximum(whole.sums[i], 1), p[after])
+        at, m = self.fall_at[~single], n[self.fall[~single]]
+        pair = two[at] * h + one[at]
+        p[at] = np.where(whole.pair_sums[pair] > 0, (m + whole.pair_kinds[pair] * p[at]) / np.maximum(whole.pair_sums[pair], 1), p[at])
+
+    def score(self, frequent: Frequent, c: np.ndarray, kinds: np.ndarray, n: np.ndarray, falls: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> list[np.ndarray]:
         """Tokens, known tokens, base and model score of each text.
 
-        c and kinds: of rare words, their occurrences and the different words after them (0: the
-        state is not retained); n: of heads; alpha, beta: of runs, p = alpha + beta * p(suffix).
+        c and kinds: of words, their occurrences and the different words after them (0: the state
+        is not retained); n: of heads; falls: of falls; alpha, beta: of runs, p = alpha + beta * p(suffix).
         """
-        u, known = np.empty(len(self.words)), np.ones(len(self.words), np.int64)
         heavy = self.number >= 0
+        c, kinds = c[~heavy], kinds[~heavy]
+        u, known = np.empty(len(self.words)), np.ones(len(self.words), np.int64)
         u[heavy], u[~heavy], known[~heavy] = frequent.u[self.number[heavy]], (c + 1) / frequent.size, c > 0
         p = u[self.token]
         base = np.log10(p)
-        after = np.flatnonzero(heavy[self.one])
+        if frequent.whole:
+            self._after_frequent(frequent.whole, p, falls)
+            after = np.zeros(0, np.int64)
+        else:
+            after = np.flatnonzero(heavy[self.one])
         p[after] = frequent.after(self.number[self.one[after]], self.number[self.token[after]], p[after])
         rare = np.cumsum(~heavy) - 1
         keeper = rare[self.head_keeper]
@@ -247,10 +418,10 @@ class Slice:
         return [np.diff(self.bounds), *(sums_by_doc(x, self.bounds) for x in (known[self.token], base, np.log10(p)))]
 
 
-#: Rare words, their counts, their heads of kind 0 and 1; of heads, their runs; counts of runs; of heads, then of runs: numbers from 1 of frequent words, names of rare ones.
-_MESSAGE = [np.uint64] + [np.uint32] * 9
-#: Of words: occurrences, different words after them (0: not retained); occurrences of heads; of runs, their place in a table; alpha and beta in it.
-_ANSWER = [np.uint64, np.uint32, np.uint32, np.uint32, np.float32, np.float32]
+#: Words, their counts, their heads of kind 0 and 1; of heads, their runs; counts of runs; of heads, then of runs: numbers from 1 of frequent words, names of rare ones; of words, their falls; of falls, the words before and counts.
+_MESSAGE = [np.uint64] + [np.uint32] * 12
+#: Of words: occurrences, different words after them (0: not retained); occurrences of heads; of runs, their place in a table; alpha and beta in it; occurrences of falls.
+_ANSWER = [np.uint64, np.uint32, np.uint32, np.uint32, np.float32, np.float32, np.uint64]
 
 
 def _gains(owner: np.ndarray, size: int, n: np.ndarray, all_: np.ndarray, kinds: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -310,12 +481,14 @@ def answer(messages: list[bytes], frequent: Frequent, divergence: float = DIVERG
     tables = tables.view(np.float32).reshape(-1, 2)
     after = np.where(keep1, kinds1, 0).astype(np.uint32)[0::2]
     seen = np.where(own, n1, 0).astype(np.uint32)
-    out, word_at, head_at, run_at = [], 0, 0, 0
+    _, fall = np.unique((np.repeat(word, joined(10)) << 32) | joined(11).astype(np.int64), return_inverse=True)
+    falls = np.bincount(fall, joined(12)).astype(np.uint64)
+    out, word_at, head_at, run_at, fall_at = [], 0, 0, 0, 0
     for x in parts:
         some, heads_, runs_ = word[word_at : word_at + len(x[0])], head_of_each[head_at : head_at + len(x[4])], run[run_at : run_at + len(x[5])]
         used, at = np.unique(pair[runs_], return_inverse=True)
-        out.append(_pack([total[some], after[some], seen[heads_], at.astype(np.uint32), tables[used, 0], tables[used, 1]]))
-        word_at, head_at, run_at = word_at + len(x[0]), head_at + len(x[4]), run_at + len(x[5])
+        out.append(_pack([total[some], after[some], seen[heads_], at.astype(np.uint32), tables[used, 0], tables[used, 1], falls[fall[fall_at : fall_at + len(x[11])]]]))
+        word_at, head_at, run_at, fall_at = word_at + len(x[0]), head_at + len(x[4]), run_at + len(x[5]), fall_at + len(x[11])
     return out
 
 
@@ -326,18 +499,25 @@ class Scored:
     types: int
 
 
-def score(docs: DataFrame, train: Column, heavy: int = HEAVY, divergence: float = DIVERGENCE, slice_bytes: int = SLICE, bucket_tokens: int = BUCKET) -> Scored:
-    """doc_id, n_tokens, n_known, base_score and score of every text by a tree of those where `train` holds; and the training tokens and types."""
+def score(docs: DataFrame, train: Column, heavy: int = HEAVY, divergence: float = DIVERGENCE, slice_bytes: int = SLICE, bucket_tokens: int = BUCKET, whole: bool = False) -> Scored:
+    """doc_id, n_tokens, n_known, base_score and score of every text by a tree of those where `train` holds; and the training tokens and types.
+
+    whole: frequent words, and two in a row, have states over all words.
+    """
     context, train = docs.sparkSession.sparkContext, F.coalesce(train, F.lit(False))
     words = settle(word_counts(docs, train))
     tokens, types = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
     top = words.where(F.col("c") * heavy >= tokens).toArrow()
     hashes, c = top.column("hash").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(hashes)
-    shared = context.broadcast(frequent_states(docs.where(train), hashes[order], c[order], tokens, types))
-    release(docs.sparkSession, 3)
     size = docs.agg(F.sum(F.octet_length(text_bytes()) + 1)).first()[0] or 0
     n_slices, n_buckets = max(1, -(-size // slice_bytes)), max(1, -(-size // (6 * bucket_tokens)))
+    if whole:  # falls are few beside runs
+        frequent = whole_states(docs.where(train), hashes[order], c[order], tokens, types, -(-n_buckets // 8), divergence)
+    else:
+        frequent = frequent_states(docs.where(train), hashes[order], c[order], tokens, types)
+    shared = context.broadcast(frequent)
+    release(docs.sparkSession, 3)
     mask = 0xFFFFFF if CLEAR * tokens <= heavy << 24 else 0xFFFFFFFF
     place = F.pmod(F.xxhash64("doc_id", text_bytes()), F.lit(n_slices))
     dealt = docs.select("doc_id", text_bytes().alias("text"), train.alias("train"), place.alias("slice"))
@@ -359,7 +539,7 @@ def score(docs: DataFrame, train: Column, heavy: int = HEAVY, divergence: float
         order = np.argsort(told.column("bucket").to_numpy())
         blobs = told.column("blob").to_pylist()
         got = [_unpack(blobs[i], _ANSWER) for i in order.tolist()]
-        parts = [(g[0], g[1], g[2], g[4][g[3]], g[5][g[3]]) for g in got] or [(np.zeros(0),) * 5]
+        parts = [(g[0], g[1], g[2], g[6], g[4][g[3]], g[5][g[3]]) for g in got] or [(np.zeros(0),) * 6]
         found = Slice(part.column("text").to_pylist(), shared.value)
         sums = found.score(shared.value, *(np.concatenate(x).astype(np.float64) for x in zip(*parts, strict=True)))
         return pa.table([part.column("doc_id"), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import common, decontaminate, language, licenses, minhash, mixing, pii, quality, suffixtree, tokens, toxicity
+from stratalog.llm import common, decontaminate, language, licenses, minhash, mixing, pii, quality, queries, suffixtree, tokens, toxicity
 from stratalog.llm.components import components, extend
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, Score string"
@@ -496,6 +496,70 @@ def test_suffix_tree_scores_are_those_of_a_plain_tree(spark, docs, empty):
     assert sum(a for a, _ in held) > sum(b for _, b in held)
 
 
+def whole_tree_scores(texts_, heavy, divergence):
+    """Plain suffix tree with every context of one and two words over every next word; only tests know rarer next words as one class."""
+    counts = collections.Counter(w for tokens_, learn in texts_ if learn for w in tokens_)
+    total, kinds = sum(counts.values()), len(counts)
+    often = {w for w in counts if counts[w] * heavy >= total}
+    u = lambda w: (counts[w] + 1) / (total + kinds + 1)
+    rest = max(1 - sum(map(u, often)), 1e-12)
+    test_u = lambda w: u(w) if w in often else rest / max(1, kinds + 1 - len(often))
+    moves = lambda t: [(w, t[k - 1] if k else "\n", t[k - 2] if k > 1 else "\n") for k, w in enumerate(t)]
+    one, two, classes = (collections.defaultdict(collections.Counter) for _ in range(3))
+    for tokens_, learn in texts_:
+        for w, a, b in moves(tokens_) if learn else ():
+            one[a][w] += 1
+            two[a, b][w] += 1
+            classes[a][w if w in often else None] += 1
+
+    def smooth(c, w, p):
+        return (c[w] + len(c) * p) / (sum(c.values()) + len(c)) if c else p
+
+    def test_p(a, w):
+        if a not in often:
+            return smooth(one[a], w, test_u(w))
+        c, p = classes[a], test_u(w)
+        return ((c[w] if w in often else c[None] * p / rest) + len(c) * p) / (sum(c.values()) + len(c)) if c else p
+
+    def gain(c, p):
+        return sum(n * math.log(smooth(c, w, p(w)) / p(w)) for w, n in c.items())
+
+    keep2 = {x for x, c in list(two.items()) if gain(c, lambda w: test_p(x[0], w)) >= divergence}  # noqa: B023
+    keep1 = {a for a, c in list(one.items()) if a in often or gain(c, test_u) >= divergence} | {a for a, _ in keep2}
+    out = []
+    for tokens_, _ in texts_:
+        score = 0.0
+        for w, a, b in moves(tokens_):
+            p = smooth(one[a], w, u(w)) if a in keep1 else u(w)
+            score += math.log10(smooth(two[a, b], w, p) if (a, b) in keep2 else p)
+        out.append(score)
+    return out
+
+
+def test_suffix_tree_query_keeps_what_follows_frequent_words(spark, docs, tmp_path):
+    r = random.Random(4)
+    some = ["the", "of", "cat", "sat", "on", "mat", "Über", "x"]
+    rows = [(i, " ".join(r.choice(some[: 2 + i % 7]) if r.random() < 0.8 else f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 40))), "en", "a") for i in range(1000, 1150)]
+    rows += [(1200 + k, "of the secret of the secret on the record", "en", "a") for k in range(30)]
+    every = docs.union(spark.createDataFrame(make(rows), DOCS))
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = [(i, [*words_of(lower(t)), "\n"]) for i, t in texts(every)]
+    learn = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in plain]
+    given = [(w, x) for (_, w), x in zip(plain, learn, strict=True)]
+    want = dict(zip((i for i, _ in plain), whole_tree_scores(given, suffixtree.HEAVY, suffixtree.DIVERGENCE), strict=True))
+    got = {x.doc_id: x.score for x in queries.op7_suffixtree(spark, str(tmp_path)).collect()}
+    wrong = [i for i in want if i != 1 and not math.isclose(got[i], want[i], rel_tol=1e-5)]  # two texts have id 1
+    assert not wrong, len(wrong)
+    train = common.fold("doc_id", 7) != 2
+    for heavy, divergence in ((30, 2.0), (10, 20.0)):  # many slices and buckets
+        want = whole_tree_scores(given, heavy, divergence)
+        got = {x.doc_id: x.score for x in suffixtree.score(every.repartition(5), train, heavy, divergence, 3000, 400, whole=True).rows.collect()}
+        assert all(math.isclose(got[i], value, rel_tol=1e-5) for (i, _), value in zip(plain, want, strict=True) if i != 1), heavy
+    none = suffixtree.score(docs, F.lit(None).cast("boolean"), whole=True)
+    assert {x.score for x in none.rows.collect()} == {0.0} and none.rows.count() == docs.count()
+    assert suffixtree.score(docs.limit(0), F.lit(True), whole=True).rows.count() == 0
+
+
 def test_suffix_tree_without_anything_to_learn_from(docs, empty):
     none = suffixtree.score(docs, F.lit(None).cast("boolean"))
     assert (none.tokens, none.types) == (0, 0) and {(x.score, x.n_known) for x in none.rows.collect()} == {(0.0, 0)} and none.rows.count() == docs.count()
