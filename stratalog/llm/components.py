@@ -1,9 +1,13 @@
-"""Connected components of an undirected graph by alternating large and small stars."""
+"""Connected components of an undirected graph: by alternating large and small stars, or in one task if it is small."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.llm.common import narrow, tasks_for
 
@@ -22,17 +26,49 @@ def _small(edges: DataFrame, tasks: int) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct()
 
 
+#: Types of nodes that Python orders as Spark does.
+_ORDERED = (T.IntegralType, T.StringType, T.BinaryType)
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """The components of edges that one task takes on, by union-find under the smallest node."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        over: dict = {}
+
+        def top(x):
+            while over[x] != x:
+                over[x] = over[over[x]]
+                x = over[x]
+            return x
+
+        arrow = None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(over.setdefault(a, a)), top(over.setdefault(b, b))
+                over[max(x, y)] = min(x, y)
+        if over:
+            yield pa.RecordBatch.from_arrays([pa.array(list(over), arrow), pa.array([top(x) for x in over], arrow)], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b).
 
-    Each round is cut from its lineage; the number of rounds grows with the logarithm of
-    the size.  Few edges are worked on in few tasks.  Nulls, loops and repeated edges are ignored.
+    Edges for one task need no rounds, each of which costs the driver some plans.  Else each round
+    is cut from its lineage, and their number grows with the logarithm of the size.  Nulls, loops
+    and repeated edges are ignored.
     """
     known = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     known, state = narrow(known), None
     while True:
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         tasks = tasks_for(2 * now[0])
+        if tasks == 1 and isinstance(known.schema["a"].dataType, _ORDERED):
+            return _in_one_task(known)
         if now == state or not now[0]:
             break
         state = now

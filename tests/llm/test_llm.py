@@ -96,6 +96,25 @@ def test_components(spark):
     assert {x.node: x.component for x in grown.collect()} == got
 
 
+def test_components_of_small_graphs_take_few_jobs(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(200)]
+    random.Random(6).shuffle(chain)
+    edges = spark.createDataFrame(chain, "a long, b long")
+    named = edges.select(*(F.sha2(F.col(x).cast("string"), 256).cast("binary").alias(x) for x in "ab"))
+    spark.sparkContext.setJobGroup("small", "small")
+    try:
+        got = {x.node: x.component for x in components(edges).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("small"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(range(201), 0) and jobs <= 12, jobs
+    small = {bytes(x.node): bytes(x.component) for x in components(named).collect()}
+    monkeypatch.setattr(common, "TASK_ROWS", 10)  # now they are worked on by stars
+    assert {x.node: x.component for x in components(edges).collect()} == got
+    assert {bytes(x.node): bytes(x.component) for x in components(named).collect()} == small
+    assert len(small) == 201 and set(small.values()) == {min(small)}
+
+
 def test_near_duplicates_are_those_of_all_pairs(spark, docs, empty):
     got = minhash.near_duplicates(docs, 3, 85).collect()
     sets = {}
