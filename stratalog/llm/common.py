@@ -169,10 +169,14 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows and their texts (column `text`, bytes) in pieces of about `limit` bytes."""
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, at_column: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows and their texts (column `text` or the one at a place, bytes or strings, null is empty) in pieces of about `limit` bytes."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
+        column = batch.column(batch.schema.get_field_index("text") if at_column is None else at_column)
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):  # the same bytes, not copied
+            column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
+        if column.null_count:
+            column = pc.fill_null(column, b"")
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
         while at < len(column):

@@ -244,41 +244,32 @@ def _pass(rows: DataFrame, automaton: Automaton, column: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
-            at = 0
-            texts = [("" if t is None else t).encode() for t in batch.column(column).to_pylist()]
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) < 1 << 22):
-                    size += len(texts[end]) + 1
-                    end += 1
-                part = batch.slice(at, end - at)
-                words = Words(texts[at:end], NORMAL)
-                spans = {i: [tuple(s.values()) for s in x] for i, x in enumerate(part.column(width - 2).to_pylist()) if x}
-                items = {i: set(x) for i, x in enumerate(part.column(width - 1).to_pylist()) if x}
-                numbers = table.numbers(words.hashes())
-                for first, last in table.stretches(numbers, words.docs()):
-                    doc = bisect.bisect_right(words.bounds, first) - 1
-                    found, ids = table.hits(numbers[first:last].tolist())
-                    base, byte = int(words.bounds[doc]), int(words.doc_start[doc])
-                    for a, b in found:
-                        spans.setdefault(doc, []).append((first + a - base, first + b - base, int(words.starts[first + a]) - byte, int(words.ends[first + b - 1]) - byte))
-                    if ids:
-                        items.setdefault(doc, set()).update(ids)
-                merged = []
-                for i in range(len(part)):
-                    each = sorted(spans.get(i, ()))
-                    by_word, by_byte = _merge([s[:2] for s in each]), _merge([s[2:] for s in each]) if each else []
-                    if len(by_word) != len(by_byte):  # words that touch are apart in bytes
-                        first_byte, last_byte = {s[0]: s[2] for s in reversed(each)}, {}
-                        for s in each:
-                            last_byte[s[1]] = s[3]
-                        by_byte = [(first_byte[a], last_byte[b]) for a, b in by_word]
-                    merged.append([dict(zip(("first", "last", "from_byte", "to_byte"), (*a, *b), strict=True)) for a, b in zip(by_word, by_byte, strict=True)])
-                struct = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "from_byte", "to_byte")]))
-                columns = [*part.columns[: width - 3], pa.array(words.counts.astype(np.int64)), pa.array(merged, struct), pa.array([sorted(items.get(i, ())) for i in range(len(part))], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-                at = end
+        for part, texts in slices(batches, at_column=column):
+            words = Words(texts, NORMAL)
+            spans = {i: [tuple(s.values()) for s in x] for i, x in enumerate(part.column(width - 2).to_pylist()) if x}
+            items = {i: set(x) for i, x in enumerate(part.column(width - 1).to_pylist()) if x}
+            numbers = table.numbers(words.hashes())
+            for first, last in table.stretches(numbers, words.docs()):
+                doc = bisect.bisect_right(words.bounds, first) - 1
+                found, ids = table.hits(numbers[first:last].tolist())
+                base, byte = int(words.bounds[doc]), int(words.doc_start[doc])
+                for a, b in found:
+                    spans.setdefault(doc, []).append((first + a - base, first + b - base, int(words.starts[first + a]) - byte, int(words.ends[first + b - 1]) - byte))
+                if ids:
+                    items.setdefault(doc, set()).update(ids)
+            merged = []
+            for i in range(len(part)):
+                each = sorted(spans.get(i, ()))
+                by_word, by_byte = _merge([s[:2] for s in each]), _merge([s[2:] for s in each]) if each else []
+                if len(by_word) != len(by_byte):  # words that touch are apart in bytes
+                    first_byte, last_byte = {s[0]: s[2] for s in reversed(each)}, {}
+                    for s in each:
+                        last_byte[s[1]] = s[3]
+                    by_byte = [(first_byte[a], last_byte[b]) for a, b in by_word]
+                merged.append([dict(zip(("first", "last", "from_byte", "to_byte"), (*a, *b), strict=True)) for a, b in zip(by_word, by_byte, strict=True)])
+            struct = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "from_byte", "to_byte")]))
+            columns = [*part.columns[: width - 3], pa.array(words.counts.astype(np.int64)), pa.array(merged, struct), pa.array([sorted(items.get(i, ())) for i in range(len(part))], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 

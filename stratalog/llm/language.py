@@ -168,17 +168,20 @@ def _identified(docs: DataFrame, carry: list[str], langs: list[str], p: np.ndarr
     shared = docs.sparkSession.sparkContext.broadcast((langs, p.T.copy(), typical(p)))
     names = ["lang_pred", "score", "lang_set", "known"]
     letter = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}")
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], text_bytes().alias("text"), letter.alias("letter"))
+    # A text that is carried as a string is not sent a second time as bytes.
+    place = next((i for i, c in enumerate(carry) if c.lower() == "text" and docs.schema[c].dataType == T.StringType()), len(carry))
+    width = len(carry)
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], *[text_bytes().alias("text")] * (place == width), letter.alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, usual = shared.value
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, at_column=place):
             found = [_predict(t, x, langs, table, usual) for t, x in zip(texts, part.column(part.num_columns - 1).to_pylist(), strict=True)]
             pred, score, sets, known = map(list, zip(*found, strict=True)) if found else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(known, pa.bool_())], [*part.schema.names[:-2], *names])
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(known, pa.bool_())], [*part.schema.names[:width], *names])
 
     kinds = [T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.BooleanType()]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-2], *map(T.StructField, names, kinds)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:width], *map(T.StructField, names, kinds)]))
 
 
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray) -> DataFrame:

@@ -143,26 +143,20 @@ def confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            at, linked = 0, []
-            while at < len(left):
-                end, got = at, 0
-                while end < len(left) and (got == 0 or got < 1 << 22):
-                    got += len(left[end]) + 1
-                    end += 1
-                for x, other in zip(shingle_sets(left[at:end], size), right[at:end], strict=True):
-                    if other != held[0] or not len(held[1]):
-                        held = (other, shingle_sets([other], size)[0])
-                    y = held[1]
-                    low, high = sorted((len(x), len(y)))
-                    if not low or 100 * low < percent * high:
-                        linked.append(False)
-                        continue
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                at = end
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        for part, left in slices(batches, at_column=2):
+            linked = []
+            for x, right in zip(shingle_sets(left, size), part.column(3), strict=True):
+                other = right.as_py()
+                if other != held[0] or not len(held[1]):
+                    held = (other, shingle_sets([other], size)[0])
+                y = held[1]
+                low, high = sorted((len(x), len(y)))
+                if not low or 100 * low < percent * high:
+                    linked.append(False)
+                    continue
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(broadcast_if_small(edges, EDGES), "a")
     other = texts.join(broadcast_if_small(edges.select(F.col("b").alias("node")).distinct(), EDGES), "node", "left_semi")

@@ -6,9 +6,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,30 @@ def test_decontamination_finds_every_window(spark, docs, empty):
     assert untouched <= {r.doc_id for r in clean.collect()}
 
 
+def test_texts_are_held_by_slices(spark, monkeypatch):
+    """Of a batch of texts no more than a slice is held as objects and arrays at once, and a text goes to Python once."""
+    runs, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, real=kind.mapInArrow: runs.append((f, self.schema)) or real(self, f, *a))
+    frame = spark.createDataFrame([(1, "one", "en")], "doc_id long, text string, lang string")
+    decontaminate.clean(frame, spark.createDataFrame([("q", prose(random.Random(1)))], "item_id string, text string"))
+    minhash.confirm(spark.createDataFrame([(2, 1)], "a long, b long"), spark.createDataFrame([(1, b"a"), (2, b"b")], "node long, text binary"), 3, 85)
+    text, n = prose(random.Random(2), "en", 30000), 32
+    ids, texts = pa.array(range(n)), pa.array([text] * n)
+    spans = pa.array([None] * n, pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "from_byte", "to_byte")])))
+    batches = [[ids, texts, pa.array(["en"] * n), pa.array([0] * n), spans, pa.array([[]] * n, pa.list_(pa.string()))], [ids, ids, texts.cast(pa.binary()), texts.cast(pa.binary())]]
+    assert n * len(text) > 3 * common.SLICE_BYTES
+    for (run, schema), columns in zip(runs, batches, strict=True):
+        list(run(iter([pa.RecordBatch.from_arrays([c.slice(0, 1) for c in columns], schema.names)])))
+        tracemalloc.start()
+        for _ in run(iter([pa.RecordBatch.from_arrays(columns, schema.names)])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * common.SLICE_BYTES, schema.names
+    language.known_only(frame, *language.fit(frame))
+    assert [f.dataType.simpleString() for f in runs[-1][1]] == ["bigint", "string", "string", "boolean"]
+
+
 def test_decontamination_in_blocks_gives_the_same(spark, docs, monkeypatch):
     some = [t for _, t in texts(docs) if len(t.split()) > 40][:5]
     bench = spark.createDataFrame([(k, " ".join(t.split()[k : k + 20])) for k, t in enumerate(some * 2)], "item_id long, text string")
